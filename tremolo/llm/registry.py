@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
+from .decontaminate import op9_benchmark_decontamination
+from .line_dedup import op1_line_dedup
+from .quality import op7_quality_classifier
 from .simhash import op5_simhash_near_dedup
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_bpe": op8_bpe,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
