@@ -205,14 +205,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = F.col("x").bitwiseAND(F.lit(255).cast("bigint"))
     anchors = lines.select("doc_id", F.explode(F.array_distinct("h")).alias("x")).where(words >= MIN_ANCHOR_WORDS)
     shared = anchors.groupBy("x").agg(F.min("doc_id").alias("e_id"), F.max("doc_id").alias("last_id")).where("e_id < last_id").select("x", "e_id")
-    pairs = anchors.join(scratch.keep(shared, "shared"), "x").where("doc_id > e_id").groupBy("doc_id", "e_id").agg(F.sum(words).alias("w")).where(F.col("w") >= max(1, min_block_words // 2)).select("doc_id", "e_id")
+    # The joins are merge joins at every size: both sides grow with the corpus, and AQE splits
+    # the partitions of a hot line or a hot earlier document.
+    pairs = anchors.join(scratch.keep(shared, "shared").hint("merge"), "x").where("doc_id > e_id").groupBy("doc_id", "e_id").agg(F.sum(words).alias("w")).where(F.col("w") >= max(1, min_block_words // 2)).select("doc_id", "e_id")
     pairs = scratch.keep(pairs, "pairs")
     early = lines.select(F.col("doc_id").alias("e_id"), F.col("h").alias("e_h"))
-    met = pairs.join(early, "e_id").join(lines, "doc_id").select("doc_id", "tk", "e_h", "h")
+    met = pairs.hint("merge").join(early, "e_id").join(lines.hint("merge"), "doc_id").select("doc_id", "tk", "e_h", "h")
     cuts = met.mapInArrow(_aligner(min_block_words), f"doc_id {kind}, tk bigint, cut array<int>").where(F.size("cut") > 0)
     cuts = cuts.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
     cuts = scratch.keep(cuts, "cuts").select(F.col("doc_id").alias("__cut_id"), F.col("tk").alias("__cut_tk"), F.col("cut").alias("__cut_lines"))
-    joined = docs.alias("d").join(cuts, (F.col(f"d.`{id_col}`") == F.col("__cut_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("__cut_tk")), "left")
+    joined = docs.alias("d").join(cuts.hint("merge"), (F.col(f"d.`{id_col}`") == F.col("__cut_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("__cut_tk")), "left")
     hit = F.col("__cut_lines").isNotNull()
     joined = joined.withColumn("__cut", _delete(F.when(hit, F.col(f"d.`{text_col}`")), F.col("__cut_lines")))
     keep = [F.when(hit, F.col("__cut.text")).otherwise(F.col(f"d.`{c}`")).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c != "line_cut"]
