@@ -24,20 +24,22 @@ _MACROS = {
     "POSLIST": ("posexplode($1) AS ($2, $3)", "unnest(range(len($1))) AS $2, unnest($1) AS $3"),
     "AT": ("element_at($1, $2)", "$1[$2]"),
     "JSONINT": ("CAST(get_json_object($1, $2) AS BIGINT)", "CAST(json_extract($1, $2) AS BIGINT)"),
-    "IDIV": ("($1 DIV $2)", "($1 // $2)"),
+    "IDIV": ("(($1) DIV ($2))", "(($1) // ($2))"),
     "LIST": ("sort_array(collect_list($1))", "list_sort(list($1))"),
     "CBRT": ("cbrt($1)", "cbrt($1)"),
 }
 _CALL = re.compile(r"@([A-Z]+)\(")
 
 
-def _expand(sql: str, which: int) -> str:
+def expand(sql: str, which: int) -> str:
+    """Query text with its macros filled in: 0 for Spark, 1 for DuckDB."""
     while m := _CALL.search(sql):
-        depth, at, start, args = 1, m.end(), m.end(), []
+        depth, at, start, args, quoted = 1, m.end(), m.end(), [], False
         while depth:
             c = sql[at]
-            depth += (c == "(") - (c == ")")
-            if (c == "," and depth == 1) or not depth:
+            quoted ^= c == "'"
+            depth += 0 if quoted else (c == "(") - (c == ")")
+            if (c == "," and depth == 1 and not quoted) or not depth:
                 args.append(sql[start:at].strip())
                 start = at + 1
             at += 1
@@ -59,7 +61,7 @@ class SqlOperator:
         unknown = set(params) - set(self.defaults)
         if unknown:
             raise TypeError(f"unknown parameters: {sorted(unknown)}")
-        return _expand(Template(self.sql).substitute(self.defaults | params), which)
+        return expand(Template(self.sql).substitute(self.defaults | params), which)
 
     def __call__(self, **kwargs) -> DataFrame:  # noqa: ANN003
         tables = {k: v for k, v in kwargs.items() if isinstance(v, DataFrame)}
@@ -71,5 +73,5 @@ class SqlOperator:
         names = set(re.findall(r"\{(\w+)\}", self.sql))
         text = self._fill({k: v for k, v in kwargs.items() if k not in names}, 1)
         for name in names:
-            text = text.replace("{" + name + "}", "(" + _expand(kwargs[name], 1) + ")")
+            text = text.replace("{" + name + "}", "(" + expand(kwargs[name], 1) + ")")
         return text

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 
 from ..functions.bursts import isi_n_bursts
 from .base import SqlOperator
+from .cluster import ship
 
 isi_n_spans = SqlOperator(
     "Spans of N successive spikes (W2), and for each spike the least of the spans that hold it; spikes too near the ends have none (W3).",
     """
-WITH s AS (SELECT rec, unit, tick, row_number() OVER w AS i, count(*) OVER (PARTITION BY rec) AS len, lead(tick, $n - 1) OVER w - tick AS span FROM {stream} WINDOW w AS (PARTITION BY rec ORDER BY tick, unit))
+WITH s AS (SELECT rec, unit, tick, row_number() OVER w AS i, count(*) OVER (PARTITION BY rec) AS len, (lead(tick, $n - 1) OVER w) - tick AS span FROM {stream} WINDOW w AS (PARTITION BY rec ORDER BY tick, unit))
 SELECT rec, unit, tick, span, CASE WHEN i BETWEEN $n AND len - ($n - 1) THEN min(span) OVER (PARTITION BY rec ORDER BY i ROWS BETWEEN $n - 1 PRECEDING AND CURRENT ROW) END AS least_span FROM s""",
     n=4,
 )
@@ -23,7 +24,7 @@ SELECT rec, unit, tick, span, CASE WHEN i BETWEEN $n AND len - ($n - 1) THEN min
 gap_bursts = SqlOperator(
     "Bursts as sessions: a gap over ``gap`` starts a new one; those of fewer than ``n`` spikes are none (W4, simple case).",
     """
-WITH s AS (SELECT rec, tick, unit, CASE WHEN tick - lag(tick) OVER w > $gap THEN 1 ELSE 0 END AS cut FROM {stream} WINDOW w AS (PARTITION BY rec ORDER BY tick, unit)),
+WITH s AS (SELECT rec, tick, unit, CASE WHEN tick - (lag(tick) OVER w) > $gap THEN 1 ELSE 0 END AS cut FROM {stream} WINDOW w AS (PARTITION BY rec ORDER BY tick, unit)),
 b AS (SELECT rec, tick, sum(cut) OVER (PARTITION BY rec ORDER BY tick, unit ROWS UNBOUNDED PRECEDING) AS k FROM s)
 SELECT rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY t_start) AS INT) AS burst, t_start, t_end, n FROM (SELECT rec, k, min(tick) AS t_start, max(tick) AS t_end, count(*) AS n FROM b GROUP BY rec, k) x WHERE n >= $n""",
     gap=300000000, n=4,
@@ -52,28 +53,28 @@ burst_features = SqlOperator(
     "Burst features of a recording: intervals, durations, rise and fall around the fullest bin, peak rate, rates inside and between; outliers (scaled MAD over 3) leave before medians; fewer than three bursts give zeros (B7, A22).",
     """
 WITH u AS (SELECT rec, count(DISTINCT unit) AS units FROM {stream} GROUP BY rec),
-e AS (SELECT rec, burst, t_start, t_end, lead(t_start) OVER w - t_end AS ibi, lag(t_end) OVER w AS before, (t_end - t_start) / 1e6 AS dur FROM {bursts} WINDOW w AS (PARTITION BY rec ORDER BY t_start)),
+e AS (SELECT rec, burst, t_start, t_end, (lead(t_start) OVER w) - t_end AS ibi, lag(t_end) OVER w AS before, (t_end - t_start) / 1e6 AS dur FROM {bursts} WINDOW w AS (PARTITION BY rec ORDER BY t_start)),
 bins AS (SELECT e.rec, e.burst, @IDIV(s.tick - t_start, $bin) AS b, count(*) AS n FROM e JOIN {stream} s ON e.rec = s.rec AND s.tick BETWEEN t_start AND t_end GROUP BY 1, 2, 3),
 peak AS (SELECT rec, burst, max(n) AS top, min_by(b, (-n, b)) AS at_, sum(n) AS total FROM bins GROUP BY rec, burst),
-f AS (SELECT e.rec, e.burst, dur, ibi / 1e6 AS ibi, at_ * $bin / 1e6 AS rise, dur - at_ * $bin / 1e6 AS fall, top * 1.0 / units * (1e6 / $bin) AS peak_rate, total / nullif(dur, 0) / units AS intra FROM e JOIN peak ON e.rec = peak.rec AND e.burst = peak.burst JOIN u ON e.rec = u.rec),
+f AS (SELECT e.rec, e.burst, dur, ibi / 1e6 AS ibi, at_ * $bin / 1e6 AS rise, dur - at_ * $bin / 1e6 AS fall, top * 1e0 / units * (1e6 / $bin) AS peak_rate, total / nullif(dur, 0) / units AS intra FROM e JOIN peak ON e.rec = peak.rec AND e.burst = peak.burst JOIN u ON e.rec = u.rec),
 l AS (SELECT rec, 'duration' AS name, dur AS v FROM f UNION ALL SELECT rec, 'interval', ibi FROM f WHERE ibi IS NOT NULL UNION ALL SELECT rec, 'rise', rise FROM f UNION ALL SELECT rec, 'fall', fall FROM f UNION ALL SELECT rec, 'peak_rate', peak_rate FROM f UNION ALL SELECT rec, 'intra_rate', intra FROM f WHERE intra IS NOT NULL),
 med AS (SELECT rec, name, median(v) AS m FROM l GROUP BY rec, name),
 mad AS (SELECT l.rec, l.name, 3 * 1.4826 * median(abs(v - m)) AS s FROM l JOIN med ON l.rec = med.rec AND l.name = med.name GROUP BY l.rec, l.name),
 c AS (SELECT rec, count(*) AS bursts FROM {bursts} GROUP BY rec)
-SELECT l.rec, l.name, CASE WHEN max(bursts) < 3 THEN 0.0 ELSE round(median(v), 5) END AS middle, CASE WHEN max(bursts) < 3 THEN 0.0 ELSE round(coalesce(stddev_samp(v), 0), 4) END AS spread
+SELECT l.rec, l.name, CASE WHEN max(bursts) < 3 THEN 0e0 ELSE round(median(v), 5) END AS middle, CASE WHEN max(bursts) < 3 THEN 0e0 ELSE round(coalesce(stddev_samp(v), 0), 4) END AS spread
 FROM l JOIN med ON l.rec = med.rec AND l.name = med.name JOIN mad ON l.rec = mad.rec AND l.name = mad.name JOIN c ON l.rec = c.rec WHERE abs(v - m) <= s GROUP BY l.rec, l.name""",
     bin=60000000,
 )
 
 n_grid = SqlOperator("Grid of burst sizes N: from max(4, units / 30 up) to units / 2 up, at most ``most`` values (B1).",
-    "WITH u AS (SELECT rec, count(DISTINCT unit) AS units FROM {stream} GROUP BY rec), g AS (SELECT rec, greatest(4, CAST(ceil(units / 30.0) AS INT)) AS lo, CAST(ceil(units / 2.0) AS INT) AS hi FROM u), s AS (SELECT rec, lo, hi, greatest(1, CAST(ceil((hi - lo + 1) / ($most * 1.0)) AS INT)) AS step, @SERIES(0, $most - 1) AS k FROM g) SELECT rec, CAST(lo + k * step AS INT) AS n FROM s WHERE lo + k * step <= hi", most=20)
+    "WITH u AS (SELECT rec, count(DISTINCT unit) AS units FROM {stream} GROUP BY rec), g AS (SELECT rec, greatest(4, CAST(ceil(units / 30.0) AS INT)) AS lo, CAST(ceil(units / 2e0) AS INT) AS hi FROM u), s AS (SELECT rec, lo, hi, greatest(1, CAST(ceil((hi - lo + 1) / ($most * 1e0)) AS INT)) AS step, @SERIES(0, $most - 1) AS k FROM g) SELECT rec, CAST(lo + k * step AS INT) AS n FROM s WHERE lo + k * step <= hi", most=20)
 
 dunn_threshold = SqlOperator(
     "Dunn index of the two groups of N-spike spans that a threshold makes, in closed form for one dimension: least gap between over widest group (B3, X13).",
     """
 WITH s AS (SELECT rec, c.n, c.threshold, lead(tick, 3) OVER (PARTITION BY rec, c.n, c.threshold ORDER BY tick, unit) - tick AS span FROM {stream} CROSS JOIN {candidates} c),
 g AS (SELECT rec, n, threshold, max(CASE WHEN span <= threshold THEN span END) AS low_max, min(CASE WHEN span <= threshold THEN span END) AS low_min, min(CASE WHEN span > threshold THEN span END) AS high_min, max(span) AS high_max FROM s WHERE span IS NOT NULL GROUP BY 1, 2, 3)
-SELECT rec, n, threshold, round(coalesce((high_min - low_max) * 1.0 / nullif(greatest(low_max - low_min, high_max - high_min), 0), 0), 9) AS dunn FROM g""",
+SELECT rec, n, threshold, round(coalesce((high_min - low_max) * 1e0 / nullif(greatest(low_max - low_min, high_max - high_min), 0), 0), 9) AS dunn FROM g""",
 )
 
 best_isi_n = SqlOperator(
@@ -88,6 +89,7 @@ SELECT rec, n, threshold, round(d, 9) AS dunn FROM (SELECT rec, n, threshold, d,
 
 def detect_bursts(stream: DataFrame, n: int, isi_n: int) -> DataFrame:
     """Exact N-spike bursts (B5): one grouped map for each recording runs the automaton."""
+    ship(stream.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ticks = pdf.sort_values(["tick", "unit"])["tick"].to_numpy()

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions.connectivity import hollow_gaussian_test, significant_links
 from .base import SqlOperator
+from .cluster import ship
 
 _BAND = """
 WITH s AS (SELECT rec, unit, tick, row_number() OVER (PARTITION BY rec ORDER BY tick, unit) AS i, @IDIV(tick, $width) AS k FROM {spikes}),
-o AS (SELECT rec, unit, tick, i, k + @SERIES(-1, 1) AS k FROM s)"""
+o AS (SELECT rec, unit, tick, i, @SERIES(k - 1, k + 1) AS k FROM s)"""
 
 ccg_counts = SqlOperator(
     "Cross-correlogram counts of all ordered unit pairs: lag bins of ``bin`` ticks up to ``half`` bins, half-bin ties round down; backward window closed, forward window open (K1, J2). Pairs and bins without counts are left out; ``ccg_grid`` adds them.",
     _BAND
     + """
-SELECT o.rec, o.unit AS a, s.unit AS b, CAST(-floor(0.5 + (o.tick - s.tick) / ($bin * 1.0)) AS INT) AS lag_bin, count(*) AS n FROM s JOIN o ON s.rec = o.rec AND s.k = o.k AND s.i <> o.i
+SELECT o.rec, o.unit AS a, s.unit AS b, CAST(-floor(0.5 + (o.tick - s.tick) / ($bin * 1e0)) AS INT) AS lag_bin, count(*) AS n FROM s JOIN o ON s.rec = o.rec AND s.k = o.k AND s.i <> o.i
 WHERE CASE WHEN o.i < s.i THEN s.tick - o.tick <= $bin * ($half + 0.5) ELSE o.tick - s.tick < $bin * ($half + 0.5) END GROUP BY 1, 2, 3, 4""",
     bin=60000000, half=50, width=3030000000,
 )
@@ -32,7 +33,7 @@ ccg_grid = SqlOperator("Correlograms of chosen units on the full grid of lags, z
     "WITH u AS (SELECT rec, unit, count(*) AS spikes FROM {spikes} WHERE unit < $units GROUP BY rec, unit), g AS (SELECT a.rec, a.unit AS a, b.unit AS b, a.spikes, @SERIES(-$half, $half) AS lag_bin FROM u a JOIN u b ON a.rec = b.rec) SELECT g.rec, g.a, g.b, CAST(g.lag_bin AS INT) AS lag_bin, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / (spikes * $bin / 1e6), 9) AS rate FROM g LEFT JOIN {ccg} c ON g.rec = c.rec AND g.a = c.a AND g.b = c.b AND g.lag_bin = c.lag_bin", units=3, half=50, bin=60000000)
 
 acg_counts = SqlOperator("Autocorrelograms: the diagonal of the correlograms (P7, P8), with the share of the fullest bin.",
-    "SELECT rec, a AS unit, lag_bin, n, round(n * 1.0 / max(n) OVER (PARTITION BY rec, a), 6) AS norm FROM {ccg} WHERE a = b")
+    "SELECT rec, a AS unit, lag_bin, n, round(n * 1e0 / max(n) OVER (PARTITION BY rec, a), 6) AS norm FROM {ccg} WHERE a = b")
 
 ccg_sum = SqlOperator("Sum of correlograms over the recordings of a culture (A21).",
     "SELECT a, b, lag_bin, CAST(sum(n) AS BIGINT) AS n FROM {ccg} GROUP BY a, b, lag_bin")
@@ -42,10 +43,10 @@ tiling_coefficient = SqlOperator(
     """
 WITH s AS (SELECT unit, tick, @IDIV(tick, $dt) AS k FROM {spikes} WHERE unit < $units),
 g AS (SELECT unit, tick, tick - lag(tick) OVER (PARTITION BY unit ORDER BY tick) AS isi FROM s),
-t AS (SELECT unit, count(*) AS n, min(tick) AS t1, max(tick) AS tn, sum(greatest(0, 2 * $dt - coalesce(isi, 2 * $dt))) AS overlap FROM g GROUP BY unit),
-c AS (SELECT unit, n, (2.0 * n * $dt - overlap - greatest(0, $dt - t1) - CASE WHEN n = 1 AND t1 < $dt THEN 0 ELSE greatest(0, $dt - ($stop - tn)) END) / $stop AS cover FROM t),
-p AS (SELECT x.unit AS a, y.unit AS b, count(DISTINCT x.tick) AS hits FROM s x JOIN (SELECT unit, tick, k + @SERIES(-1, 1) AS k FROM s) y ON x.k = y.k AND x.unit <> y.unit AND abs(x.tick - y.tick) <= $dt GROUP BY 1, 2),
-q AS (SELECT a.unit AS a, b.unit AS b, a.cover AS ta, b.cover AS tb, coalesce(pa.hits, 0) * 1.0 / a.n AS pa, coalesce(pb.hits, 0) * 1.0 / b.n AS pb FROM c a JOIN c b ON a.unit < b.unit LEFT JOIN p pa ON pa.a = a.unit AND pa.b = b.unit LEFT JOIN p pb ON pb.a = b.unit AND pb.b = a.unit)
+t AS (SELECT unit, count(*) AS n, min(tick) AS t1, max(tick) AS tn, sum(greatest(0, 2 * CAST($dt AS BIGINT) - coalesce(isi, 2 * CAST($dt AS BIGINT)))) AS overlap FROM g GROUP BY unit),
+c AS (SELECT unit, n, (2e0 * n * $dt - overlap - greatest(0, $dt - t1) - CASE WHEN n = 1 AND t1 < $dt THEN 0 ELSE greatest(0, $dt - ($stop - tn)) END) / $stop AS cover FROM t),
+p AS (SELECT x.unit AS a, y.unit AS b, count(DISTINCT x.tick) AS hits FROM s x JOIN (SELECT unit, tick, @SERIES(k - 1, k + 1) AS k FROM s) y ON x.k = y.k AND x.unit <> y.unit AND abs(x.tick - y.tick) <= $dt GROUP BY 1, 2),
+q AS (SELECT a.unit AS a, b.unit AS b, a.cover AS ta, b.cover AS tb, coalesce(pa.hits, 0) * 1e0 / a.n AS pa, coalesce(pb.hits, 0) * 1e0 / b.n AS pb FROM c a JOIN c b ON a.unit < b.unit LEFT JOIN p pa ON pa.a = a.unit AND pa.b = b.unit LEFT JOIN p pb ON pb.a = b.unit AND pb.b = a.unit)
 SELECT a, b, round(0.5 * ((pa - tb) / nullif(1 - tb * pa, 0) + (pb - ta) / nullif(1 - ta * pb, 0)), 6) AS sttc FROM q""",
     dt=1800000000, units=20, stop=2592000000000,
 )
@@ -95,6 +96,7 @@ def null_models(spikes: DataFrame, method: str, bins: int, seed: int = 1) -> Dat
 def ccg_links(grid: DataFrame, half: int = 50, alpha: float = 0.001, spread: int = 5) -> DataFrame:
     """Significant connections of correlograms (K3, K4): one row (rec, a, b, sign) for each. The
     bins of a pair are gathered into one short array, tested by an Arrow kernel."""
+    ship(grid.sparkSession)
     arrays = grid.where("a <> b").groupBy("rec", "a", "b").agg(F.sort_array(F.collect_list(F.struct("lag_bin", "n"))).alias("x")).select("rec", "a", "b", F.transform("x", lambda v: v["n"].cast("double")).alias("n"))
 
     def test(batches):  # noqa: ANN001, ANN202
@@ -106,6 +108,7 @@ def ccg_links(grid: DataFrame, half: int = 50, alpha: float = 0.001, spread: int
 
 def ccg_predictor(grid: DataFrame, spread: int = 5) -> DataFrame:
     """Per correlogram bin the smoothed prediction and the p-value of its count (K3)."""
+    ship(grid.sparkSession)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lag_bin")
@@ -115,7 +118,7 @@ def ccg_predictor(grid: DataFrame, spread: int = 5) -> DataFrame:
     return grid.select("rec", "a", "b", "lag_bin", "n").groupBy("rec", "a", "b").applyInPandas(test, "rec string, a long, b long, lag_bin int, n long, expected double, p double")
 
 
-def differential_covariance(raster: DataFrame, theta: float = 0.0) -> DataFrame:
+def differential_covariance(raster: DataFrame, theta: float = 0e0) -> DataFrame:
     """Dynamical differential covariance W = cov(dx, x) B^-1 with B = cov(relu(x - theta), x) (K10)
     of ``raster(rec, unit, bin, n)``, bins without spikes being zero. One matrix for each
     recording."""

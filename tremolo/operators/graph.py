@@ -12,10 +12,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions import graph_kernels
 from .base import SqlOperator
+from .cluster import cut, ship
 
 _TRI = "SELECT a.src AS u, count(*) AS t, sum(@CBRT(a.w * b.w * c.w)) AS tw FROM {edges} a JOIN {edges} b ON a.dst = b.src JOIN {edges} c ON b.dst = c.dst AND c.src = a.src WHERE a.src <> a.dst AND b.src <> b.dst AND a.src <> b.dst GROUP BY a.src"
 _DEG = "SELECT src AS u, count(*) AS k, sum(w) AS s FROM {edges} WHERE src <> dst GROUP BY src"
@@ -27,32 +29,32 @@ degrees_dir = SqlOperator("In-, out- and total degree and strength of a directed
 signed_strengths = SqlOperator("Positive and negative strength, the diagonal left out (BG121).",
     "SELECT id, round(coalesce(sum(CASE WHEN w > 0 THEN w END), 0), 6) AS positive, round(coalesce(sum(CASE WHEN w < 0 THEN -w END), 0), 6) AS negative FROM {nodes} n LEFT JOIN (SELECT src, w FROM {edges} WHERE src <> dst) e ON n.id = e.src GROUP BY id")
 density_und = SqlOperator("Nodes, edges of the upper triangle with the diagonal, and density (BG26, G1).",
-    "SELECT n, k, round(k * 2.0 / (n * n - n), 9) AS density FROM (SELECT count(*) AS n FROM {nodes}) a CROSS JOIN (SELECT count(*) AS k FROM {edges} WHERE src <= dst) b")
+    "SELECT n, k, round(k * 2e0 / (n * n - n), 9) AS density FROM (SELECT count(*) AS n FROM {nodes}) a CROSS JOIN (SELECT count(*) AS k FROM {edges} WHERE src <= dst) b")
 density_dir = SqlOperator("Nodes, edges and density of a directed graph (BG25, G1).",
-    "SELECT n, k, round(k * 1.0 / (n * n - n), 9) AS density FROM (SELECT count(*) AS n FROM {nodes}) a CROSS JOIN (SELECT count(*) AS k FROM {edges}) b")
+    "SELECT n, k, round(k * 1e0 / (n * n - n), 9) AS density FROM (SELECT count(*) AS n FROM {nodes}) a CROSS JOIN (SELECT count(*) AS k FROM {edges}) b")
 clustering = SqlOperator("Clustering coefficient, binary and weighted by cube roots (BG15, BG17, G2).",
-    f"SELECT id, round(coalesce(CASE WHEN k > 1 THEN t * 1.0 / (k * k - k) END, 0), 6) AS c_bin, round(coalesce(CASE WHEN k > 1 THEN tw / (k * k - k) END, 0), 6) AS c_wei FROM {{nodes}} n LEFT JOIN ({_DEG}) d ON n.id = d.u LEFT JOIN ({_TRI}) t ON n.id = t.u")
+    f"SELECT id, round(coalesce(CASE WHEN k > 1 THEN t * 1e0 / (k * k - k) END, 0), 6) AS c_bin, round(coalesce(CASE WHEN k > 1 THEN tw / (k * k - k) END, 0), 6) AS c_wei FROM {{nodes}} n LEFT JOIN ({_DEG}) d ON n.id = d.u LEFT JOIN ({_TRI}) t ON n.id = t.u")
 transitivity = SqlOperator("Transitivity, binary and weighted (BG126, BG128).",
-    f"SELECT round(sum(coalesce(t, 0)) * 1.0 / sum(k * k - k), 6) AS t_bin, round(sum(coalesce(tw, 0)) / sum(k * k - k), 6) AS t_wei FROM ({_DEG}) d LEFT JOIN ({_TRI}) t ON d.u = t.u")
+    f"SELECT round(sum(coalesce(t, 0)) * 1e0 / sum(k * k - k), 6) AS t_bin, round(sum(coalesce(tw, 0)) / sum(k * k - k), 6) AS t_wei FROM ({_DEG}) d LEFT JOIN ({_TRI}) t ON d.u = t.u")
 _DIR = """
 WITH a AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst),
 s AS (SELECT src, dst, count(*) AS w FROM (SELECT src, dst FROM a UNION ALL SELECT dst AS src, src AS dst FROM a) x GROUP BY src, dst),
 k AS (SELECT src AS u, sum(w) AS k FROM s GROUP BY src), f AS (SELECT src AS u, count(*) AS m FROM s WHERE w = 2 GROUP BY src),
-t AS (SELECT x.src AS u, sum(x.w * y.w * z.w) / 2.0 AS t FROM s x JOIN s y ON x.dst = y.src JOIN s z ON y.dst = z.dst AND z.src = x.src WHERE x.src <> y.dst GROUP BY x.src),
+t AS (SELECT x.src AS u, sum(x.w * y.w * z.w) / 2e0 AS t FROM s x JOIN s y ON x.dst = y.src JOIN s z ON y.dst = z.dst AND z.src = x.src WHERE x.src <> y.dst GROUP BY x.src),
 c AS (SELECT id, coalesce(t.t, 0) AS t, coalesce(k, 0) * (coalesce(k, 0) - 1) - 2 * coalesce(m, 0) AS p FROM {nodes} n LEFT JOIN k ON n.id = k.u LEFT JOIN f ON n.id = f.u LEFT JOIN t ON n.id = t.u)"""
 clustering_dir = SqlOperator("Clustering coefficient of a directed binary graph (BG14).", _DIR + " SELECT id, round(CASE WHEN t > 0 THEN t / p ELSE 0 END, 6) AS c FROM c")
-transitivity_dir = SqlOperator("Transitivity of a directed binary graph (BG125).", _DIR + " SELECT round(sum(t) * 1.0 / sum(p), 6) AS t FROM c")
+transitivity_dir = SqlOperator("Transitivity of a directed binary graph (BG125).", _DIR + " SELECT round(sum(t) * 1e0 / sum(p), 6) AS t FROM c")
 assortativity = SqlOperator(
     "Correlation of degrees, and of strengths, over the edges (BG5, BG6, G3).",
     f"""
-WITH d AS ({_DEG}), e AS (SELECT x.k * 1.0 AS a, y.k * 1.0 AS b, x.s AS sa, y.s AS sb FROM {{edges}} e JOIN d x ON e.src = x.u JOIN d y ON e.dst = y.u WHERE src < dst),
+WITH d AS ({_DEG}), e AS (SELECT x.k * 1e0 AS a, y.k * 1e0 AS b, x.s AS sa, y.s AS sb FROM {{edges}} e JOIN d x ON e.src = x.u JOIN d y ON e.dst = y.u WHERE src < dst),
 m AS (SELECT avg(a * b) AS ab, avg((a + b) / 2) AS h, avg((a * a + b * b) / 2) AS q, avg(sa * sb) AS sab, avg((sa + sb) / 2) AS sh, avg((sa * sa + sb * sb) / 2) AS sq FROM e)
 SELECT round((ab - h * h) / nullif(q - h * h, 0), 6) AS r_bin, round((sab - sh * sh) / nullif(sq - sh * sh, 0), 6) AS r_wei FROM m""",
 )
 assortativity_dir = SqlOperator(
     "Degree correlation of a directed graph: out-in, in-out, out-out, in-in (BG5).",
     """
-WITH o AS (SELECT src AS u, count(*) * 1.0 AS k FROM {edges} GROUP BY src), i AS (SELECT dst AS u, count(*) * 1.0 AS k FROM {edges} GROUP BY dst),
+WITH o AS (SELECT src AS u, count(*) * 1e0 AS k FROM {edges} GROUP BY src), i AS (SELECT dst AS u, count(*) * 1e0 AS k FROM {edges} GROUP BY dst),
 e AS (SELECT coalesce(so.k, 0) AS so, coalesce(si.k, 0) AS si, coalesce(to_.k, 0) AS to_, coalesce(ti.k, 0) AS ti FROM {edges} e LEFT JOIN o so ON e.src = so.u LEFT JOIN i si ON e.src = si.u LEFT JOIN o to_ ON e.dst = to_.u LEFT JOIN i ti ON e.dst = ti.u),
 p AS (SELECT 1 AS mode, so AS a, ti AS b FROM e UNION ALL SELECT 2, si, to_ FROM e UNION ALL SELECT 3, so, to_ FROM e UNION ALL SELECT 4, si, ti FROM e),
 m AS (SELECT mode, avg(a * b) AS ab, avg((a + b) / 2) AS h, avg((a * a + b * b) / 2) AS q FROM p GROUP BY mode)
@@ -67,37 +69,37 @@ reach(a, b, d) AS (SELECT id AS a, id AS b, 0 AS d FROM {nodes} WHERE id IN (SEL
 dist AS (SELECT a, b, min(d) AS d FROM reach GROUP BY a, b)"""
 distance_bin = SqlOperator("Hop distances from chosen sources, up to ``hops`` (BG10, BG11, BG28, BG104).", _WALK + " SELECT a, b, CAST(d AS INT) AS d FROM dist", hops=3)
 path_statistics = SqlOperator("Mean distance, efficiency, eccentricity of sources, over pairs reached within ``hops`` (BG12, BG116, G4).",
-    _WALK + " SELECT a, round(avg(d * 1.0), 6) AS mean_distance, round(avg(1.0 / d), 6) AS mean_inverse, CAST(max(d) AS INT) AS eccentricity, count(*) AS reached FROM dist WHERE d > 0 GROUP BY a", hops=3)
+    _WALK + " SELECT a, round(avg(d * 1e0), 6) AS mean_distance, round(avg(1e0 / d), 6) AS mean_inverse, CAST(max(d) AS INT) AS eccentricity, count(*) AS reached FROM dist WHERE d > 0 GROUP BY a", hops=3)
 edge_overlap = SqlOperator(
     "Neighbourhood overlap of linked nodes: shared neighbours over all neighbours, the two left out (BG35, BG34).",
     f"""
 WITH d AS ({_DEG}), c AS (SELECT e.src, e.dst, count(b.dst) AS shared FROM {{edges}} e LEFT JOIN {{edges}} a ON e.src = a.src AND a.dst <> e.dst AND a.dst <> e.src LEFT JOIN {{edges}} b ON b.src = e.dst AND b.dst = a.dst WHERE e.src < e.dst GROUP BY e.src, e.dst)
-SELECT c.src, c.dst, shared, round(CASE WHEN x.k + y.k - 2 - shared > 0 THEN shared * 1.0 / (x.k + y.k - 2 - shared) ELSE 0 END, 6) AS overlap FROM c JOIN d x ON c.src = x.u JOIN d y ON c.dst = y.u""",
+SELECT c.src, c.dst, shared, round(CASE WHEN x.k + y.k - 2 - shared > 0 THEN shared * 1e0 / (x.k + y.k - 2 - shared) ELSE 0 END, 6) AS overlap FROM c JOIN d x ON c.src = x.u JOIN d y ON c.dst = y.u""",
 )
 matching_index = SqlOperator(
     "Matching index of node pairs with shared neighbours: twice the shared over the links of both, their own link left out (BG71, BG72).",
     f"""
 WITH d AS ({_DEG}), c AS (SELECT a.src AS i, b.src AS j, count(*) AS n FROM {{edges}} a JOIN {{edges}} b ON a.dst = b.dst AND a.src < b.src GROUP BY a.src, b.src),
 l AS (SELECT src AS i, dst AS j FROM {{edges}})
-SELECT c.i, c.j, round(2.0 * n / (x.k + y.k - 2 * CASE WHEN l.i IS NULL THEN 0 ELSE 1 END), 6) AS matching FROM c JOIN d x ON c.i = x.u JOIN d y ON c.j = y.u LEFT JOIN l ON c.i = l.i AND c.j = l.j""",
+SELECT c.i, c.j, round(2e0 * n / (x.k + y.k - 2 * CASE WHEN l.i IS NULL THEN 0 ELSE 1 END), 6) AS matching FROM c JOIN d x ON c.i = x.u JOIN d y ON c.j = y.u LEFT JOIN l ON c.i = l.i AND c.j = l.j""",
 )
 topological_overlap = SqlOperator(
     "Topological overlap of node pairs with shared neighbours, one step (BG50).",
     f"""
 WITH d AS ({_DEG}), c AS (SELECT a.src AS i, b.src AS j, count(*) AS n FROM {{edges}} a JOIN {{edges}} b ON a.dst = b.dst AND a.src < b.src GROUP BY a.src, b.src), l AS (SELECT src AS i, dst AS j FROM {{edges}})
-SELECT c.i, c.j, round((n + CASE WHEN l.i IS NULL THEN 0 ELSE 1 END) * 1.0 / (least(x.k, y.k) + 1 - CASE WHEN l.i IS NULL THEN 0 ELSE 1 END), 6) AS overlap FROM c JOIN d x ON c.i = x.u JOIN d y ON c.j = y.u LEFT JOIN l ON c.i = l.i AND c.j = l.j""",
+SELECT c.i, c.j, round((n + CASE WHEN l.i IS NULL THEN 0 ELSE 1 END) * 1e0 / (least(x.k, y.k) + 1 - CASE WHEN l.i IS NULL THEN 0 ELSE 1 END), 6) AS overlap FROM c JOIN d x ON c.i = x.u JOIN d y ON c.j = y.u LEFT JOIN l ON c.i = l.i AND c.j = l.j""",
 )
 rich_club = SqlOperator(
     "Rich club: density among nodes of degree over k (BG112, BG113).",
     f"""
-WITH d AS ({_DEG}), g AS (SELECT CAST(@SERIES(1, (SELECT max(k) FROM d)) AS BIGINT) AS k), n AS (SELECT g.k, count(d.u) AS nk FROM g LEFT JOIN d ON d.k > g.k GROUP BY g.k),
+WITH d AS ({_DEG}), g AS (SELECT @SERIES(CAST(1 AS BIGINT), top) AS k FROM (SELECT max(k) AS top FROM d) z), n AS (SELECT g.k, count(d.u) AS nk FROM g LEFT JOIN d ON d.k > g.k GROUP BY g.k),
 m AS (SELECT least(x.k, y.k) AS lo FROM {{edges}} e JOIN d x ON e.src = x.u JOIN d y ON e.dst = y.u WHERE src <> dst), c AS (SELECT g.k, count(m.lo) AS ek FROM g LEFT JOIN m ON m.lo > g.k GROUP BY g.k)
-SELECT n.k, nk, ek, round(ek * 1.0 / nullif(nk * (nk - 1), 0), 6) AS r FROM n JOIN c ON n.k = c.k""",
+SELECT n.k, nk, ek, round(ek * 1e0 / nullif(nk * (nk - 1), 0), 6) AS r FROM n JOIN c ON n.k = c.k""",
 )
 rich_club_wei = SqlOperator(
     "Weighted rich club: weight among nodes of degree k or more over the same number of heaviest edges (BG114, BG115).",
     f"""
-WITH d AS ({_DEG}), g AS (SELECT CAST(@SERIES(1, (SELECT max(k) FROM d)) AS BIGINT) AS k), r AS (SELECT w, row_number() OVER (ORDER BY w DESC) AS p, sum(w) OVER (ORDER BY w DESC ROWS UNBOUNDED PRECEDING) AS top FROM {{edges}} WHERE src <> dst),
+WITH d AS ({_DEG}), g AS (SELECT @SERIES(CAST(1 AS BIGINT), top) AS k FROM (SELECT max(k) AS top FROM d) z), r AS (SELECT w, row_number() OVER (ORDER BY w DESC) AS p, sum(w) OVER (ORDER BY w DESC ROWS UNBOUNDED PRECEDING) AS top FROM {{edges}} WHERE src <> dst),
 m AS (SELECT least(x.k, y.k) AS lo, w FROM {{edges}} e JOIN d x ON e.src = x.u JOIN d y ON e.dst = y.u WHERE src <> dst), c AS (SELECT g.k, count(*) AS ek, sum(w) AS sw FROM g JOIN m ON m.lo >= g.k GROUP BY g.k)
 SELECT c.k, ek, round(sw, 6) AS weight, round(sw / top, 6) AS r FROM c JOIN r ON r.p = c.ek""",
 )
@@ -105,7 +107,7 @@ _MOD = "SELECT e.src AS u, m.module, sum(e.w) AS s FROM {edges} e JOIN {modules}
 participation = SqlOperator("Participation coefficient over given modules (BG90, BG91).",
     f"SELECT u AS id, round(1 - sum(s * s) / (sum(s) * sum(s)), 6) AS p FROM ({_MOD}) x GROUP BY u")
 diversity = SqlOperator("Entropy of links over modules (BG31).",
-    f"SELECT u AS id, round(-sum(s / total * ln(s / total)) / ln((SELECT count(DISTINCT module) FROM {{modules}}) * 1.0), 6) AS h FROM (SELECT u, s, sum(s) OVER (PARTITION BY u) AS total FROM ({_MOD}) x) y WHERE s > 0 GROUP BY u")
+    f"SELECT u AS id, round(-sum(s / total * ln(s / total)) / ln((SELECT count(DISTINCT module) FROM {{modules}}) * 1e0), 6) AS h FROM (SELECT u, s, sum(s) OVER (PARTITION BY u) AS total FROM ({_MOD}) x) y WHERE s > 0 GROUP BY u")
 module_zscore = SqlOperator("Within-module degree z-score; 0 without spread (BG77).",
     f"SELECT id, module, round(coalesce((s - avg(s) OVER (PARTITION BY module)) / nullif(stddev_samp(s) OVER (PARTITION BY module), 0), 0), 6) AS z FROM (SELECT m.id, m.module, coalesce(x.s, 0) AS s FROM {{modules}} m LEFT JOIN ({_MOD}) x ON m.id = x.u AND m.module = x.module) y")
 module_order = SqlOperator("Nodes in order of module, then degree; the outline of each module (BG49, BG109, O4).",
@@ -115,7 +117,7 @@ agreement = SqlOperator("Number of partitions, and their weight, in which two no
 partition_distance = SqlOperator(
     "Variation of information and normalised mutual information of two labelings (BG92).",
     """
-WITH n AS (SELECT count(*) * 1.0 AS n FROM {labels}), xy AS (SELECT x, y, count(*) / max(n) AS p FROM {labels}, n GROUP BY x, y), px AS (SELECT x, sum(p) AS p FROM xy GROUP BY x), py AS (SELECT y, sum(p) AS p FROM xy GROUP BY y),
+WITH n AS (SELECT count(*) * 1e0 AS n FROM {labels}), xy AS (SELECT x, y, count(*) / max(n) AS p FROM {labels}, n GROUP BY x, y), px AS (SELECT x, sum(p) AS p FROM xy GROUP BY x), py AS (SELECT y, sum(p) AS p FROM xy GROUP BY y),
 h AS (SELECT (SELECT -sum(p * ln(p)) FROM px) AS hx, (SELECT -sum(p * ln(p)) FROM py) AS hy, (SELECT -sum(p * ln(p)) FROM xy) AS hxy)
 SELECT round((2 * hxy - hx - hy) / ln(n), 6) AS vi, round(2 * (hx + hy - hxy) / (hx + hy), 6) AS mi FROM h, n""",
 )
@@ -125,12 +127,12 @@ flow_coefficient = SqlOperator("Flow coefficient: paths in-v-out between nodes t
     """
 WITH a AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst), nb AS (SELECT u, count(DISTINCT v) AS n FROM (SELECT src AS u, dst AS v FROM a UNION ALL SELECT dst, src FROM a) x GROUP BY u),
 f AS (SELECT i.dst AS u, count(*) AS flow FROM a i JOIN a o ON i.dst = o.src AND i.src <> o.dst LEFT JOIN a d ON d.src = i.src AND d.dst = o.dst WHERE d.src IS NULL GROUP BY i.dst)
-SELECT nb.u AS id, coalesce(flow, 0) AS flow, round(CASE WHEN n > 1 THEN coalesce(flow, 0) * 1.0 / (n * n - n) ELSE 0 END, 6) AS fc FROM nb LEFT JOIN f ON nb.u = f.u""")
+SELECT nb.u AS id, coalesce(flow, 0) AS flow, round(CASE WHEN n > 1 THEN coalesce(flow, 0) * 1e0 / (n * n - n) ELSE 0 END, 6) AS fc FROM nb LEFT JOIN f ON nb.u = f.u""")
 threshold_absolute = SqlOperator("Edges off the diagonal of at least ``thr`` (BG123, F19).", "SELECT src, dst, w FROM {edges} WHERE src <> dst AND w >= $thr", thr=2)
 threshold_proportional = SqlOperator("The strongest share p of all possible undirected edges (BG124, F19).",
     "SELECT src, dst, w FROM (SELECT src, dst, w, row_number() OVER (ORDER BY w DESC, src, dst) AS r FROM {edges} WHERE src < dst) x WHERE r <= round((SELECT count(*) * (count(*) - 1) FROM {nodes}) * $p / 2)", p=0.02)
 weight_conversion = SqlOperator("Weights as binary, divided by the largest, and as lengths (BG129).",
-    "SELECT src, dst, 1 AS binary_w, round(w * 1.0 / max(abs(w)) OVER (), 6) AS normal_w, round(1.0 / w, 6) AS length FROM {edges} WHERE w <> 0")
+    "SELECT src, dst, 1 AS binary_w, round(w * 1e0 / max(abs(w)) OVER (), 6) AS normal_w, round(1e0 / w, 6) AS length FROM {edges} WHERE w <> 0")
 triad_census = SqlOperator(
     "Connected triples of a directed graph by class: edges among the three and mutual pairs, closed or open (BG78, BG80 as counts by pattern).",
     """
@@ -154,6 +156,7 @@ def dense(edges: DataFrame, nodes: DataFrame, kernel: str, schema: str, **params
     """Applies a matrix kernel to each graph of ``edges(g, src, dst, w)`` with ``nodes(g, id)``. A
     kernel takes (A, ids, rng, **params) and returns columns of ``schema``; randomness is seeded by
     graph. One task holds one graph: meant for graphs of a few thousand nodes, any number of them."""
+    ship(edges.sparkSession)
     fn = getattr(graph_kernels, kernel)
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -173,13 +176,9 @@ def dense(edges: DataFrame, nodes: DataFrame, kernel: str, schema: str, **params
 
 def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
     """Components and their sizes by minimum labels with pointer jumping (BG48): every round is two
-    joins; ends when no label changes. Labels are written to the checkpoint folder where one is set."""
-    from pyspark.sql import functions as F
-
-    spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    joins, written to the checkpoint folder; ends when no label changes."""
     labels = nodes.select("id", F.col("id").alias("label"))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     before = None
     for _ in range(rounds):
         near = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("label").alias("near"))
@@ -193,21 +192,20 @@ def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -
     return labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").select("id", F.col("label").alias("component"), "size")
 
 
-def core_numbers(edges: DataFrame, k_max: int = 64) -> DataFrame:
-    """Largest k for which a node is in the k-core, by peeling (BG52-BG55)."""
-    from pyspark.sql import functions as F
-
-    left, out = edges.select("src", "dst").where("src <> dst").distinct(), None
-    for k in range(1, k_max + 1):
-        while True:
-            weak = left.groupBy("src").count().where(F.col("count") < k).select(F.col("src").alias("x"))
-            weak = weak.persist()
-            if not weak.take(1):
-                break
-            left = left.join(weak, left.src == weak.x, "left_anti").join(weak, left.dst == weak.x, "left_anti").persist()
-            left.count()
-        alive = left.select(F.col("src").alias("id")).distinct().withColumn("k", F.lit(k))
-        out = alive if out is None else out.unionByName(alive)
-        if not left.take(1):
-            break
-    return out.groupBy("id").agg(F.max("k").alias("coreness"))
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """Largest k for which a node is in the k-core (BG52-BG55) of ``edges`` in both directions.
+
+    Starting with degrees, a node takes the largest h such that h of its neighbours have a value
+    of h or more; values only fall, and where none does they are the core numbers. A round is one
+    join and one window; the neighbours of a node are sorted on disk where they don't fit."""
+    arcs = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    core = cut(arcs.groupBy("src").agg(F.count("*").alias("coreness")).withColumnRenamed("src", "id"))
+    total = core.agg(F.sum("coreness")).first()[0]
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("coreness")))
+    while True:
+        ranked = arcs.join(core, F.col("dst") == F.col("id")).select("src", F.least(rank.cast("long"), "coreness").alias("h"))
+        core = cut(ranked.groupBy("src").agg(F.max("h").alias("coreness")).withColumnRenamed("src", "id"))
+        now = core.agg(F.sum("coreness")).first()[0]
+        if now == total:
+            return core
+        total = now

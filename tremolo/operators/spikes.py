@@ -31,7 +31,7 @@ unit_activity_features = SqlOperator(
     f"""
 WITH i AS ({_ISI}),
 m AS (SELECT rec, unit, isi, avg(isi) OVER (PARTITION BY rec, unit) AS mean_isi, lead(isi) OVER (PARTITION BY rec, unit ORDER BY tick) AS next_isi FROM i),
-f AS (SELECT rec, unit, count(*) AS n, avg(isi) AS mean_isi, stddev_samp(isi) AS sd, avg(CASE WHEN isi < $refractory THEN 1.0 WHEN isi IS NOT NULL THEN 0.0 END) AS violations,
+f AS (SELECT rec, unit, count(*) AS n, avg(isi) AS mean_isi, stddev_samp(isi) AS sd, avg(CASE WHEN isi < $refractory THEN 1e0 WHEN isi IS NOT NULL THEN 0e0 END) AS violations,
     sum((isi - mean_isi) * (next_isi - mean_isi)) / nullif(sum((isi - mean_isi) * (isi - mean_isi)), 0) AS pac FROM m GROUP BY rec, unit)
 SELECT rec, unit, n AS n_spikes, round(n / $duration, 9) AS firing_rate, round(CASE WHEN n > 2 THEN mean_isi ELSE 0 END, 4) AS mean_isi, round(CASE WHEN n > 2 THEN sd / mean_isi ELSE 0 END, 6) AS cv_isi, round(CASE WHEN n > 2 THEN pac ELSE 0 END, 6) AS partial_autocorrelation,
   (n / $duration < $low OR n / $duration > $high) AS bad_rate, coalesce(violations > $max_violations, FALSE) AS bad_refractory,
@@ -46,7 +46,7 @@ min_unit_filter = SqlOperator("Recordings with strictly more than ``threshold``
     "SELECT s.rec, count(*) AS n_spikes FROM {spikes} s SEMI JOIN (SELECT rec FROM {spikes} GROUP BY rec HAVING count(DISTINCT unit) > $threshold) k ON s.rec = k.rec GROUP BY s.rec", threshold=10)
 
 amplitude_qc = SqlOperator("Amplitude bounds: a unit fails outside [low, high] or without a number (F4).",
-    "SELECT unit, round(amplitude, 6) AS amplitude, (amplitude IS NULL OR isnan(amplitude) OR amplitude < $low OR amplitude > $high) AS bad_amplitude FROM {units}", low=0.5, high=2.0)
+    "SELECT unit, round(amplitude, 6) AS amplitude, (amplitude IS NULL OR isnan(amplitude) OR amplitude < $low OR amplitude > $high) AS bad_amplitude FROM {units}", low=0.5, high=2e0)
 
 waveform_qc = SqlOperator(
     "Waveform quality from samples ``waveforms(unit, i, v)``: axonal if -max/min of the normalised waveform is over ``max_axon`` (F7); noise if slopes change sign over ``max_turns`` times in the window around the median trough, or the trough lies outside it (F8, W12).",
@@ -79,7 +79,7 @@ robust_unit_means = SqlOperator(
 WITH med AS (SELECT rec, count(*) AS n, median(firing_rate) AS a, median(mean_isi) AS b, median(cv_isi) AS c FROM {features} GROUP BY rec),
 dev AS (SELECT f.rec, f.firing_rate, f.mean_isi, f.cv_isi, n, abs(f.firing_rate - a) AS da, abs(f.mean_isi - b) AS db, abs(f.cv_isi - c) AS dc FROM {features} f JOIN med ON f.rec = med.rec),
 mad AS (SELECT rec, $factor * 1.4826 * median(da) AS sa, $factor * 1.4826 * median(db) AS sb, $factor * 1.4826 * median(dc) AS sc FROM dev GROUP BY rec)
-SELECT dev.rec, count(*) AS n_used, round(avg(firing_rate), 9) AS firing_rate, round(avg(mean_isi), 3) AS mean_isi, round(avg(cv_isi), 6) AS cv_isi
+SELECT dev.rec, count(*) AS n_used, round(avg(firing_rate), 12) AS firing_rate, round(avg(mean_isi), 7) AS mean_isi, round(avg(cv_isi), 9) AS cv_isi
 FROM dev JOIN mad ON dev.rec = mad.rec WHERE n = 1 OR NOT (da > sa OR db > sb OR dc > sc) GROUP BY dev.rec""", factor=5,
 )
 
@@ -92,7 +92,7 @@ dev AS (SELECT f.rec, f.cluster, firing_rate, cv_isi, n, abs(firing_rate - a) AS
 mad AS (SELECT rec, cluster, 5 * 1.4826 * median(da) AS sa, 5 * 1.4826 * median(db) AS sb FROM dev GROUP BY rec, cluster),
 r AS (SELECT dev.rec, dev.cluster, avg(firing_rate) AS firing_rate, avg(cv_isi) AS cv_isi FROM dev JOIN mad ON dev.rec = mad.rec AND dev.cluster = mad.cluster WHERE n = 1 OR NOT (da > sa OR db > sb) GROUP BY dev.rec, dev.cluster),
 spine AS (SELECT rec, @SERIES(0, $clusters - 1) AS cluster FROM (SELECT DISTINCT rec FROM f) x)
-SELECT spine.rec, CAST(spine.cluster AS BIGINT) AS cluster, round(coalesce(firing_rate, 0), 9) AS firing_rate, round(coalesce(cv_isi, 0), 6) AS cv_isi FROM spine LEFT JOIN r ON spine.rec = r.rec AND spine.cluster = r.cluster""",
+SELECT spine.rec, CAST(spine.cluster AS BIGINT) AS cluster, round(coalesce(firing_rate, 0), 12) AS firing_rate, round(coalesce(cv_isi, 0), 9) AS cv_isi FROM spine LEFT JOIN r ON spine.rec = r.rec AND spine.cluster = r.cluster""",
     clusters=5, present=4,
 )
 
@@ -100,7 +100,7 @@ binned_activity = SqlOperator(
     "Spike counts in bins of fixed width over [0, duration], empty bins included, the last closed on the right (A2).",
     """
 WITH b AS (SELECT rec, least(@IDIV(tick, $width), $bins - 1) AS bin, count(*) AS n FROM {spikes} WHERE tick BETWEEN 0 AND CAST($width AS BIGINT) * $bins GROUP BY 1, 2),
-spine AS (SELECT rec, CAST(@SERIES(0, $bins - 1) AS BIGINT) AS bin FROM (SELECT DISTINCT rec FROM {spikes}) x)
+spine AS (SELECT rec, @SERIES(CAST(0 AS BIGINT), CAST($bins - 1 AS BIGINT)) AS bin FROM (SELECT DISTINCT rec FROM {spikes}) x)
 SELECT spine.rec, spine.bin, coalesce(n, 0) AS n FROM spine LEFT JOIN b ON spine.rec = b.rec AND spine.bin = b.bin""", width=21600000000, bins=120,
 )
 
@@ -125,7 +125,7 @@ cluster_shifts = SqlOperator(
     "Difference of min-max scaled density maps for each pair of clusters (A20).",
     """
 WITH s AS (SELECT cluster, min(n) AS lo, max(n) AS hi FROM {density} GROUP BY cluster),
-d AS (SELECT x.cluster, bx, by_, CASE WHEN hi > lo THEN (n - lo) * 1.0 / (hi - lo) ELSE 0 END AS z FROM {density} x JOIN s ON x.cluster = s.cluster),
+d AS (SELECT x.cluster, bx, by_, CASE WHEN hi > lo THEN (n - lo) * 1e0 / (hi - lo) ELSE 0 END AS z FROM {density} x JOIN s ON x.cluster = s.cluster),
 cells AS (SELECT DISTINCT bx, by_ FROM d), names AS (SELECT DISTINCT cluster FROM d),
 full_ AS (SELECT names.cluster, cells.bx, cells.by_, coalesce(z, 0) AS z FROM names CROSS JOIN cells LEFT JOIN d ON d.cluster = names.cluster AND d.bx = cells.bx AND d.by_ = cells.by_)
 SELECT a.cluster AS c1, b.cluster AS c2, round(sum(abs(a.z - b.z)), 6) AS shift, round(max(a.z - b.z), 6) AS top FROM full_ a JOIN full_ b ON a.bx = b.bx AND a.by_ = b.by_ AND a.cluster < b.cluster GROUP BY 1, 2""",
@@ -143,10 +143,10 @@ cumulative_activity = SqlOperator("Cumulative counts of binned activity from bot
     "SELECT rec, bin, CAST(sum(n) OVER (PARTITION BY rec ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS forward, CAST(sum(n) OVER (PARTITION BY rec ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS backward FROM {binned}")
 
 central_difference = SqlOperator("Central difference of binned activity; at the ends the mean of the series (W11).",
-    "SELECT rec, bin, round(coalesce((lead(n) OVER w - lag(n) OVER w) / 2.0, avg(n) OVER (PARTITION BY rec)), 6) AS d FROM {binned} WINDOW w AS (PARTITION BY rec ORDER BY bin)")
+    "SELECT rec, bin, round(coalesce((lead(n) OVER w - lag(n) OVER w) / 2e0, avg(n) OVER (PARTITION BY rec)), 6) AS d FROM {binned} WINDOW w AS (PARTITION BY rec ORDER BY bin)")
 
 gaussian3 = SqlOperator("Gaussian smoothing over three bins with weights of one sixth of the window as spread; weights renormalise at the ends (W8, B12).",
-    "SELECT rec, bin, round((n + exp(-2.0) * (coalesce(lag(n) OVER w, 0) + coalesce(lead(n) OVER w, 0))) / (1 + exp(-2.0) * (CASE WHEN lag(n) OVER w IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(n) OVER w IS NULL THEN 0 ELSE 1 END)), 6) AS s FROM {binned} WINDOW w AS (PARTITION BY rec ORDER BY bin)")
+    "SELECT rec, bin, round((n + exp(-2e0) * (coalesce(lag(n) OVER w, 0) + coalesce(lead(n) OVER w, 0))) / (1 + exp(-2e0) * (CASE WHEN lag(n) OVER w IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(n) OVER w IS NULL THEN 0 ELSE 1 END)), 6) AS s FROM {binned} WINDOW w AS (PARTITION BY rec ORDER BY bin)")
 
 local_peaks = SqlOperator("Local maxima of binned activity, the ``k`` highest of each recording (W9, W13, W14, O3).",
     "SELECT rec, bin, n FROM (SELECT rec, bin, n, row_number() OVER (PARTITION BY rec ORDER BY n DESC, bin) AS r FROM (SELECT rec, bin, n, lag(n) OVER (PARTITION BY rec ORDER BY bin) AS p, lead(n) OVER (PARTITION BY rec ORDER BY bin) AS q FROM {binned}) x WHERE n > p AND n >= q) y WHERE r <= $k", k=3)
@@ -165,7 +165,7 @@ SELECT m.unit, m.electrode, round(abs(lo) * $lsb, 6) AS amplitude, count(*) AS s
 )
 
 close_units = SqlOperator("Units at a distance strictly between ``near`` and ``far``, without the unit itself (F14, X11).",
-    "SELECT a.unit, b.unit AS other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM {places} a JOIN {places} b ON a.unit <> b.unit WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) > $near AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < $far", near=0.0, far=0.4)
+    "SELECT a.unit, b.unit AS other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM {places} a JOIN {places} b ON a.unit <> b.unit WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) > $near AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < $far", near=0e0, far=0.4)
 
 series_autocorrelation = SqlOperator("Autocorrelation of binned activity up to ``lags`` (L20).",
     "WITH z AS (SELECT rec, bin, n - avg(n) OVER (PARTITION BY rec) AS v FROM {binned}), v AS (SELECT rec, sum(v * v) AS s FROM z GROUP BY rec) SELECT a.rec, CAST(b.bin - a.bin AS INT) AS lag_, round(sum(a.v * b.v) / max(v.s), 6) AS ac FROM z a JOIN z b ON a.rec = b.rec AND b.bin BETWEEN a.bin AND a.bin + $lags JOIN v ON a.rec = v.rec GROUP BY 1, 2", lags=20)
