@@ -84,7 +84,7 @@ group_trajectories = SqlOperator(
     """
 WITH m AS (SELECT grp, value, median(x) AS m FROM {series} GROUP BY grp, value), d AS (SELECT s.grp, s.value, s.x, abs(s.x - m) AS d FROM {series} s JOIN m ON s.grp = m.grp AND s.value = m.value),
 k AS (SELECT grp, value, $factor * 1.4826 * median(d) AS lim FROM d GROUP BY grp, value)
-SELECT d.grp, d.value, count(*) AS n, round(avg(x), 2) AS mean_x, round(coalesce(stddev_samp(x), 0), 2) AS sd_x FROM d JOIN k ON d.grp = k.grp AND d.value = k.value WHERE d <= lim GROUP BY d.grp, d.value""", factor=10,
+SELECT d.grp, d.value, count(*) AS n, round(avg(x), 6) AS mean_x, round(coalesce(stddev_samp(x), 0), 5) AS sd_x FROM d JOIN k ON d.grp = k.grp AND d.value = k.value WHERE d <= lim GROUP BY d.grp, d.value""", factor=10,
 )
 group_log_ratio = SqlOperator("Log ratio of group means of min-max scaled values (A15).",
     "WITH s AS (SELECT grp, value, (x - min(x) OVER (PARTITION BY value)) / nullif(max(x) OVER (PARTITION BY value) - min(x) OVER (PARTITION BY value), 0) AS v FROM {series}) SELECT value, round(ln(nullif(avg(CASE WHEN grp = '$first' THEN v END), 0) / nullif(avg(CASE WHEN grp = '$second' THEN v END), 0)), 6) AS log_ratio FROM s GROUP BY value", first="BUILDING", second="MACHINERY")
