@@ -28,7 +28,7 @@ _SAMPLES = "SELECT vec_id AS unit, label AS cluster, CAST(i AS INT) AS i, CAST(v
 _TEMPLATES = "SELECT label AS unit, vec_id AS electrode, CAST(i AS INT) AS i, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, label, @POSLIST(embedding, i, v) FROM {embeddings}) z"
 _PRED = "SELECT o_orderstatus AS label, CASE WHEN o_totalprice > 250000 THEN 'F' WHEN o_orderkey % 3 = 0 THEN 'P' ELSE 'O' END AS predicted, o_orderpriority AS grp FROM {orders}"
 _FITTED = "SELECT c_mktsegment AS grp, c_acctbal AS y, c_acctbal * 0.9 + c_nationkey AS p FROM {customer}"
-_SERIES = "SELECT o_custkey AS culture, c_mktsegment AS grp, (@MONTHNO(o_orderdate) - 23941) % 24 AS value, avg(o_totalprice) AS x FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3"
+_SERIES = "SELECT o_custkey AS culture, c_mktsegment AS grp, (@MONTHNO(o_orderdate) - 23941) % 24 AS value, ln(avg(o_totalprice)) AS x FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3"
 _GRID = "SELECT 0 AS g UNION ALL SELECT 6 UNION ALL SELECT 12"
 _CUSTOMERS = "SELECT c_custkey AS id, c_mktsegment AS a, CAST(n_regionkey AS VARCHAR(10)) AS b, c_mktsegment AS grp, c_mktsegment AS label, c_nationkey AS batch, c_nationkey % 5 AS cluster, c_custkey % 3 <> 0 AS train, c_acctbal AS x FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"
 _VALUES = "SELECT l_returnflag AS cluster, l_linestatus AS g, 'quantity' AS feature, 'quantity' AS f, l_quantity AS x FROM {lineitem} UNION ALL SELECT l_returnflag, l_linestatus, 'price', 'price', l_extendedprice FROM {lineitem} UNION ALL SELECT l_returnflag, l_linestatus, 'discount', 'discount', l_discount FROM {lineitem}"
