@@ -11,7 +11,7 @@ are left out. A block is a run of lines consecutive in both documents with at le
 Defined results of odd inputs: null and empty texts stay as they are; rows with a null id are
 returned unchanged; rows that repeat an id count as versions of one document and aren't
 compared with each other; an empty table gives an empty result; other columns pass through,
-and only one named ``line_cut`` is replaced by the operator's own.
+and only one named like ``cut_col`` is replaced by the operator's own.
 """
 
 from __future__ import annotations
@@ -192,9 +192,9 @@ def _delete(texts, cuts):  # noqa: ANN001, ANN202
     return pd.DataFrame(out, columns=["text", "lines", "chars"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 25) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 25, cut_col: str = "line_cut") -> DataFrame:
     """``docs`` with shared blocks deleted from the later document (by id), and the column
-    ``line_cut`` struct(lines, chars): what was deleted. All rows stay; texts may become empty."""
+    ``cut_col`` struct(lines, chars): what was deleted. All rows stay; texts may become empty."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
@@ -217,9 +217,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.alias("d").join(cuts.hint("merge"), (F.col(f"d.`{id_col}`") == F.col("__cut_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("__cut_tk")), "left")
     hit = F.col("__cut_lines").isNotNull()
     joined = joined.withColumn("__cut", _delete(F.when(hit, F.col(f"d.`{text_col}`")), F.col("__cut_lines")))
-    keep = [F.when(hit, F.col("__cut.text")).otherwise(F.col(f"d.`{c}`")).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c != "line_cut"]
+    keep = [F.when(hit, F.col("__cut.text")).otherwise(F.col(f"d.`{c}`")).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c != cut_col]
     cut = F.struct(F.coalesce("__cut.lines", F.lit(0)).alias("lines"), F.coalesce("__cut.chars", F.lit(0)).alias("chars"))
-    return joined.select(*keep, cut.alias("line_cut"))
+    return joined.select(*keep, cut.alias(cut_col))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
