@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import bursts, cohort, connectivity, graph, spikes, stats
+from ..operators import bursts, cohort, connectivity, graph, series, spikes, stats
 from ..operators.base import SqlOperator, expand
 
 # Recordings are event types, units are users, ticks are microseconds since the start of 2024.
@@ -195,6 +195,10 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectivity.ccg_links(read(spark, sf_dir, _SQL["ccg_grid"]))
 
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.series_features(read(spark, sf_dir, "SELECT user_id AS id, event_id AS t, value AS x FROM {events}"))
+
+
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(read(spark, sf_dir, _EDGES), read(spark, sf_dir, _NODES))
 
@@ -254,6 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **_SQL,
     "detect_bursts": _detected_bursts,
     "ccg_links": _links,
+    "series_features": _series,
     "connected_components": _components,
     "core_numbers": _cores,
     "differential_covariance": _covariance,
