@@ -53,6 +53,22 @@ def hollow_gaussian_test(counts: np.ndarray, spread: int = 5) -> tuple[np.ndarra
     return p, expected
 
 
+def link_candidates(counts: np.ndarray, half: int = 50, alpha: float = 0.001, spread: int = 5) -> np.ndarray:
+    """Of each row of ``counts`` whether ``significant_links`` may give a link: behind zero lag a
+    count whose probability is within the level, or an expectation that could miss a count."""
+    c = min(6 * spread + 1, counts.shape[1] - 1)
+    unit = np.eye(counts.shape[1])
+    padded = np.hstack([unit[:, :c][:, ::-1], unit, unit[:, ::-1][:, :c]])
+    w = hollow_window(spread)
+    post = slice(half + 1, half + 5)
+    kernel = np.array([np.convolve(row, w, "same")[c : c + len(unit)] for row in padded])[:, post]
+    n, m = counts[:, post], np.maximum(counts @ kernel, 1e-12)
+    level = alpha / 10 * (1 + 1e-6)  # for rounding
+    factorial = np.r_[0.0, np.cumsum(np.log(np.arange(1, max(2, int(n.max(initial=0)) + 1))))]
+    high = (n > 0) & (n * np.log(m) - m - factorial[n.astype(int)] <= np.log(level))
+    return (high | (m >= -np.log(level))).any(axis=1)
+
+
 def significant_links(counts: np.ndarray, half: int = 50, alpha: float = 0.001, spread: int = 5, near: tuple[float, float] = (0.8, 4.0)) -> int:
     """+1 for an excitatory, -1 for an inhibitory, 0 for no link from a to b: some bin behind zero
     lag lies beyond the bound around its expectation (Bonferroni over ten bins), and the extreme

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.connectivity import hollow_gaussian_test, significant_links
+from ..functions.connectivity import hollow_gaussian_test, link_candidates, significant_links
 from .base import SqlOperator
 from .cluster import ship
 
@@ -93,17 +94,24 @@ def null_models(spikes: DataFrame, method: str, bins: int, seed: int = 1) -> Dat
     return spikes.select("rec", "unit", "tick").groupBy("rec", "unit").applyInPandas(train, schema)
 
 
-def ccg_links(grid: DataFrame, half: int = 50, alpha: float = 0.001, spread: int = 5) -> DataFrame:
-    """Significant connections of correlograms (K3, K4): one row (rec, a, b, sign) for each. The
-    bins of a pair are gathered into one short array, tested by an Arrow kernel."""
-    ship(grid.sparkSession)
-    arrays = grid.where("a <> b").groupBy("rec", "a", "b").agg(F.sort_array(F.collect_list(F.struct("lag_bin", "n"))).alias("x")).select("rec", "a", "b", F.transform("x", lambda v: v["n"].cast("double")).alias("n"))
+def ccg_links(ccg: DataFrame, half: int = 50, alpha: float = 0.001, spread: int = 5) -> DataFrame:
+    """Significant connections of correlograms (K3, K4): one row (rec, a, b, sign) for each. Bins
+    without counts may be left out, and so may pairs without any, which have no link: the grid
+    isn't needed. Arrow kernel; only pairs that pass a necessary condition are tested in full."""
+    ship(ccg.sparkSession)
+    arrays = ccg.where("a <> b").groupBy("rec", "a", "b").agg(F.collect_list(F.col("lag_bin").cast("int")).alias("lag"), F.collect_list(F.col("n").cast("double")).alias("n"))
 
     def test(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            yield pdf.assign(sign=[significant_links(np.asarray(n), half, alpha, spread) for n in pdf["n"]])[["rec", "a", "b", "sign"]]
+        for b in batches:
+            lag, n = b.column(3), b.column(4)
+            counts = np.zeros((b.num_rows, 2 * half + 1))
+            counts[np.repeat(np.arange(b.num_rows), np.diff(lag.offsets.to_numpy())), lag.flatten().to_numpy() + half] = n.flatten().to_numpy()
+            sign = np.zeros(b.num_rows, np.int32)
+            for k in np.flatnonzero(link_candidates(counts, half, alpha, spread)).tolist():
+                sign[k] = significant_links(counts[k], half, alpha, spread)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sign)], names=["rec", "a", "b", "sign"])
 
-    return arrays.mapInPandas(test, "rec string, a long, b long, sign int").where("sign <> 0")
+    return arrays.select("rec", F.col("a").cast("long"), F.col("b").cast("long"), "lag", "n").mapInArrow(test, "rec string, a long, b long, sign int").where("sign <> 0")
 
 
 def ccg_predictor(grid: DataFrame, spread: int = 5) -> DataFrame:
@@ -121,7 +129,8 @@ def ccg_predictor(grid: DataFrame, spread: int = 5) -> DataFrame:
 def differential_covariance(raster: DataFrame, theta: float = 0e0) -> DataFrame:
     """Dynamical differential covariance W = cov(dx, x) B^-1 with B = cov(relu(x - theta), x) (K10)
     of ``raster(rec, unit, bin, n)``, bins without spikes being zero. One matrix for each
-    recording."""
+    recording; with more units than bins B is singular, and its inverse is the pseudo-inverse
+    without singular values that are zero but for rounding."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="bin", columns="unit", values="n", fill_value=0).reindex(range(int(pdf["bin"].min()), int(pdf["bin"].max()) + 1), fill_value=0)
@@ -129,7 +138,8 @@ def differential_covariance(raster: DataFrame, theta: float = 0e0) -> DataFrame:
         d = np.vstack([np.zeros(x.shape[1]), (x[2:] - x[:-2]) / 2, np.zeros(x.shape[1])])
         d[[0, -1]] = d[1:-1].mean(0)
         cx = x - x.mean(0)
-        w = ((d - d.mean(0)).T @ cx) @ np.linalg.pinv((np.maximum(x - theta, 0) - np.maximum(x - theta, 0).mean(0)).T @ cx)
+        b = (np.maximum(x - theta, 0) - np.maximum(x - theta, 0).mean(0)).T @ cx
+        w = ((d - d.mean(0)).T @ cx) @ np.linalg.pinv(b, rcond=len(b) * np.finfo(float).eps)
         units = wide.columns.to_numpy()
         i, j = np.meshgrid(range(len(units)), range(len(units)), indexing="ij")
         return pd.DataFrame({"rec": pdf["rec"].iloc[0], "a": units[i.ravel()], "b": units[j.ravel()], "w": w.ravel()})

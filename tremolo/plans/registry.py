@@ -42,6 +42,9 @@ _BOXES = "SELECT 1 AS box, -0.1 AS x0, -0.1 AS y0, 0.1 AS x1, 0.1 AS y1 UNION AL
 _CANDIDATES = "SELECT 4 AS n, 60000000 AS threshold UNION ALL SELECT 4, 600000000 UNION ALL SELECT 4, 3600000000"
 _LOOKUP = "SELECT 1 AS ord, '1,27' AS chips, 'first' AS info UNION ALL SELECT 2, '3,5', 'second' UNION ALL SELECT 3, '0', 'third'"
 
+# The queries named ``_all`` run over whole tables; those of the same names without it are samples.
+_EVERY_UNIT = {"units": 1 << 62}
+
 
 class Query:
     """An operator bound to its inputs: callable with (session, folder)."""
@@ -124,6 +127,8 @@ _SQL: dict[str, Query] = {
     "acg_counts": Query(connectivity.acg_counts, ccg=_ccg),
     "ccg_sum": Query(connectivity.ccg_sum, ccg=_ccg),
     "tiling_coefficient": _sttc,
+    "ccg_grid_all": Query(connectivity.ccg_grid, _EVERY_UNIT, ccg=_ccg, spikes=_SPIKES),
+    "tiling_coefficient_all": Query(connectivity.tiling_coefficient, _EVERY_UNIT, spikes=_SPIKES),
     "confusion_matrix": Query(stats.confusion_matrix, pred=_PRED),
     "class_metrics": Query(stats.class_metrics, pred=_PRED),
     "confusion_metrics": Query(stats.confusion_metrics, pred=_PRED),
@@ -176,6 +181,8 @@ _SQL: dict[str, Query] = {
     "triad_census": Query(graph.triad_census, edges=_ARCS),
     "distance_bin": Query(graph.distance_bin, edges=_EDGES, nodes=_NODES, sources="SELECT DISTINCT user_id AS id FROM {events} WHERE user_id < 5"),
     "path_statistics": Query(graph.path_statistics, edges=_EDGES, nodes=_NODES, sources="SELECT DISTINCT user_id AS id FROM {events} WHERE user_id < 5"),
+    "distance_bin_all": Query(graph.distance_bin, edges=_EDGES, nodes=_NODES, sources=_NODES),
+    "path_statistics_all": Query(graph.path_statistics, edges=_EDGES, nodes=_NODES, sources=_NODES),
     "agreement": Query(graph.agreement, partitions=_PARTITIONS),
     "partition_distance": Query(graph.partition_distance, labels=_LABELS),
     "spatial_edges": Query(graph.spatial_edges, edges=_EDGES, places=_PLACES),
@@ -192,7 +199,7 @@ def _detected_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectivity.ccg_links(read(spark, sf_dir, _SQL["ccg_grid"]))
+    return connectivity.ccg_links(read(spark, sf_dir, _ccg))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +215,7 @@ def _cores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raster = f"SELECT rec, unit, @IDIV(tick, 3600000000) AS bin, count(*) AS n FROM ({_SPIKES}) z WHERE unit < 50 GROUP BY 1, 2, 3"
+    raster = f"SELECT rec, unit, @IDIV(tick, 3600000000) AS bin, count(*) AS n FROM ({_SPIKES}) z GROUP BY 1, 2, 3"
     return connectivity.differential_covariance(read(spark, sf_dir, raster))
 
 
