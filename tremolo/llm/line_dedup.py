@@ -127,10 +127,33 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _longest_runs(a: list[int], b: list[int], min_words: int) -> list[int]:
+    """Positions of ``b`` in runs of at least ``min_words`` words that ``a`` has somewhere, by
+    diagonals: no alignment is chosen, so none hides a run."""
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        at.setdefault(x, []).append(i)
+    if sum(x & 0xFF for x in b if x in at) < min_words:
+        return []
+    found: set[int] = set()
+    before: dict[int, tuple[int, int]] = {}  # last line in a -> (first line in b, words) of the run so far
+    for j in range(len(b) + 1):
+        now: dict[int, tuple[int, int]] = {}
+        for i in at.get(b[j], ()) if j < len(b) else ():
+            first, words = before.pop(i - 1, (j, 0))
+            now[i] = (first, words + (b[j] & 0xFF))
+        for first, words in before.values():  # runs that end here
+            if words >= min_words:
+                found.update(range(first, j))
+        before = now
+    return sorted(found)
+
+
 def common_blocks(earlier: np.ndarray, later: np.ndarray, min_words: int) -> list[int]:
     """Positions of the lines of ``later`` that lie in a block shared with ``earlier``. Aligns
     again without the lines found, until nothing is found: blocks in another order, and second
-    copies of a block, are found too."""
+    copies of a block, are found too. What is left is searched by diagonals, as an alignment of
+    many short lines can stand in the way of a longer block."""
     a, b = earlier.tolist(), later.tolist()
     gone: list[int] = []
     while True:
@@ -144,6 +167,8 @@ def common_blocks(earlier: np.ndarray, later: np.ndarray, min_words: int) -> lis
                 run = []
             run.append(j)
             last = (i, j)
+        if not found:
+            found = _longest_runs(a, b, min_words)
         if not found:
             return sorted(gone)
         gone += found
