@@ -1,14 +1,23 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors of a label are one class; classes meet in overlapping shards: centroids fitted on
-a bounded sample cut each label into cells, and every class goes to its ``overlap`` nearest
-cells. A cell that is over ``shard_cap`` is dealt into chunks, and each pair of chunks is a
-shard, so no shard outgrows a task and no pair of a cell is lost. In each shard a graph is built
-by robust pruning; the adjacency lists of a class are united over all its shards; then every
-class is searched for in each of its shards over the united lists, from the medoid, expanding
-all that is in range. Every link is verified by its cosine in double precision, and counted in
-one shard only. Recall is audited against brute force on ``audit_queries`` classes; below
-``least_recall`` the overlap grows and the search runs again.
+Equal vectors of a label are one class; classes meet in overlapping shards. A tree of centroids
+cuts each label into cells of about ``cell_goal`` classes: level by level, every cell of over
+``shard_cap`` classes gets up to ``FAN`` centroids, fitted on the executors to a bounded sample of
+that cell. A class goes to its nearest child and, from its main cell of each level, to the next
+nearest ones, ``overlap`` in all. Centroids that would link with each other are merged, so that a
+dense group isn't cut apart; a cell that this leaves with one centroid is dealt into chunks, and
+each pair of chunks is a shard. So a shard has about ``shard_cap`` classes, however large the
+table is, and no pair of a cell is lost.
+
+In each shard a graph is built by robust pruning; the adjacency lists of a class are united over
+all its shards; then every class is searched for in each of its shards over the united lists, from
+the medoid, expanding all that is in range. Every link is verified by its cosine in double
+precision, and counted in one shard only.
+
+Recall is audited in every run against brute force over all vectors, for ``audit_queries`` classes
+(of those with a vec_id divisible by 100, or of all where there is none; of more, those with the least hash), and
+returned in the column ``audited_recall``. Below ``least_recall`` the overlap doubles and the
+search runs again; beyond an overlap of ``MOST_OVERLAP`` cells aren't cut at all: all pairs meet.
 
 Only vectors of the same label (and length) are compared. Defined results of odd inputs: a null
 label, and a vector that is null, empty, zero or holds null or non-finite components, links with
@@ -23,11 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, ship
-from .flat_graph import build, medoid, range_search
+from .flat_graph import Graph, build, dots, medoid, range_search
+
+FAN, MOST_LEVELS, MOST_OVERLAP = 64, 12, 32
+SALT = 20_000  # classes of a cell that are routed in one go
 
 
 def _unit(rows: pa.Array) -> np.ndarray:
@@ -38,11 +51,15 @@ def _unit(rows: pa.Array) -> np.ndarray:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """(node, label, embedding array<double>, copies, first_id) of vectors that may link."""
+    """(node, grp, embedding, copies, first_id, asked) of vectors that may link; grp stands for
+    label and length, asked says that a copy's vec_id is divisible by 100."""
     v = F.col("embedding")
     fine = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", "label", _key().alias("node"), v.cast("array<double>").alias("embedding")).groupBy("node").agg(
-        F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
+    kept = v if dict(vectors.dtypes)["embedding"] in ("array<float>", "array<double>") else v.cast("array<double>")
+    group = F.concat(F.col("label").cast("string"), F.lit(":"), F.size(v))
+    asked = F.coalesce(F.expr("try_cast(vec_id AS bigint)") % 100 == 0, F.lit(False))
+    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", group.alias("grp"), _key().alias("node"), kept.alias("embedding"), asked.alias("asked")).groupBy("node").agg(
+        F.first("grp").alias("grp"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.max("asked").alias("asked"))
 
 
 def _key():  # noqa: ANN202
@@ -51,124 +68,174 @@ def _key():  # noqa: ANN202
     return F.concat(F.hex(F.xxhash64("label", v)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), v, "label")))
 
 
-def centroids(found: DataFrame, sample_rows: int, cell_goal: int, rounds: int = 8) -> dict:
-    """(label, length) -> unit centroids, k-means on the ``sample_rows`` classes of the least
-    hash. One cell for each ``cell_goal`` classes of a label."""
-    size = F.size("embedding")
-    counts = {(r["label"], r["d"]): r["count"] for r in found.groupBy("label", size.alias("d")).count().where(F.col("count") > cell_goal).orderBy(F.desc("count"), "label", "d").limit(4096).collect()}
-    out: dict = {}
-    if not counts:
-        return out
-    wide = sum(counts.values())
-    share = min(1.0, sample_rows / wide)
-    kept = found.where(F.conv(F.substring("node", 1, 6), 16, 10).cast("double") < share * 16.0**6) if share < 1 else found
-    rows = kept.select("label", "embedding", "node").orderBy("node").limit(sample_rows).toArrow()
-    labels, vectors = np.array(rows.column(0).to_pylist(), object), rows.column(1).to_pylist()
-    length = np.array([len(v) for v in vectors])
-    for (label, d), n in counts.items():
-        pick = np.flatnonzero((labels == label) & (length == d))
-        k = min(-(-n // cell_goal), max(1, len(pick) // 8))
-        if k < 2:
-            continue
-        x = np.array([vectors[i] for i in pick])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        c = x[np.random.default_rng(7).choice(len(x), k, replace=False)]
-        for _ in range(rounds):
-            at = (x @ c.T).argmax(1)
-            total = np.zeros_like(c)
-            np.add.at(total, at, x)
-            norm = np.linalg.norm(total, axis=1, keepdims=True)
-            c = np.where(norm > 0, total / np.maximum(norm, 1e-300), c)
-        out[(label, d)] = c
-    return out
-
-
-def _router(shared, overlap: int):  # noqa: ANN001, ANN202
+def centroids(x: np.ndarray, k: int, threshold: float, rounds: int = 8) -> np.ndarray:
+    """At most ``k`` unit centroids of the rows of ``x``, no two of which would link."""
+    k = min(k, len(x))
+    c = x[np.random.default_rng(7).choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        at = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, at, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 0, total / np.maximum(norm, 1e-300), c)
+    many = np.bincount((x @ c.T).argmax(1), minlength=k)
+    kept: list[int] = []
+    for j in np.argsort(-many, kind="stable").tolist():
+        if not kept or (c[kept] @ c[j]).max() < threshold:
+            kept.append(j)
+    return c[kept]
+
+
+def _fitter(goal: int, threshold: float):  # noqa: ANN202
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        k = min(FAN, -(-table.column("c")[0].as_py() // goal))
+        found = centroids(_unit(table.column("embedding").combine_chunks()), k, threshold)
+        return pa.table({"cell": table.column("cell")[:1], "c": table.column("c")[:1], "centres": pa.array([found.ravel().tolist() if len(found) > 1 else None], pa.list_(pa.float64()))})
+
+    return fit
+
+
+def _router(overlap: int):  # noqa: ANN202
+    """Rows (cell, main, node, embedding, centres) come by cell: first its centroids, without a
+    node, then its classes. Gives the children that each class goes to."""
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
+        centres = np.zeros(0)
         for b in batches:
-            labels, vectors = b.column(1).to_pylist(), b.column(2)
-            length = np.diff(vectors.offsets.to_numpy())
-            cells: list[list[int]] = [[0]] * b.num_rows
-            groups: dict = {}
-            for k, (label, d) in enumerate(zip(labels, length.tolist(), strict=True)):
-                if (label, d) in centres:
-                    groups.setdefault((label, d), []).append(k)
-            for key, rows in groups.items():
-                c = centres[key]
-                s = _unit(vectors.take(pa.array(rows))) @ c.T
-                m = min(overlap, len(c))
-                for k, near in zip(rows, np.argpartition(-s, m - 1, axis=1)[:, :m].tolist(), strict=True):
-                    cells[k] = sorted(near)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.int32()))], names=["node", "cells"])
+            cell, head = b.column(0).to_numpy(), b.column(2).is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | head[1:] | head[:-1]]) if len(cell) else np.zeros(0, np.int64)
+            rows, child, main = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cell)], strict=True):
+                if head[a]:
+                    centres = b.column(4).slice(a, 1).flatten().to_numpy()
+                    continue
+                x = _unit(b.column(3).slice(a, z - a))
+                s = x @ centres.reshape(-1, x.shape[1]).T
+                m = min(overlap, s.shape[1])
+                near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+                first = b.column(1).slice(a, z - a).to_numpy(zero_copy_only=False)
+                take = np.ones(near.shape, bool)
+                take[~first, 1:] = False  # beside the main cell a class keeps one child
+                r, c = np.nonzero(take)
+                rows.append(a + r)
+                child.append(near[r, c])
+                main.append(first[r] & (c == 0))
+            at = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(at)), pa.array(cell[at]), pa.array(np.concatenate(child).astype(np.int32)), pa.array(np.concatenate(main))], names=["node", "parent", "child", "main"])
 
     return route
 
 
+def cells(all_classes: DataFrame, overlap: int, cell_goal: int, shard_cap: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """(node, cell): the cells of each class."""
+    tag = str(overlap)
+    place = all_classes.select("node", F.xxhash64("grp").alias("cell"), F.lit(True).alias("main"), F.lit(overlap > MOST_OVERLAP).alias("whole"))
+    place = scratch.keep(place, f"place-{tag}-0")
+    for level in range(1, MOST_LEVELS):
+        sizes = place.where("NOT whole").groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > shard_cap)
+        sizes = scratch.keep(sizes, f"sizes-{tag}-{level}")
+        if not sizes.take(1):
+            break
+        large = place.where("NOT whole").join(sizes, "cell")
+        goal = F.least(F.lit(FAN), F.ceil(F.col("c") / cell_goal)) * 32
+        ranks = 1 << 40
+        chosen = large.where(F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(ranks)) < goal / F.col("c") * ranks)
+        fitted = chosen.join(all_classes.select("node", "embedding"), "node").groupBy("cell").applyInArrow(_fitter(cell_goal, threshold), "cell bigint, c bigint, centres array<double>")
+        fitted = scratch.keep(fitted, f"centres-{tag}-{level}")
+        cut = fitted.where("centres IS NOT NULL")
+        # Each group of at most about SALT classes of a cell is read behind the cell's centroids.
+        salts = F.ceil(F.col("c") / SALT).cast("int")
+        kind = dict(all_classes.dtypes)["embedding"]
+        rows = place.where("NOT whole").join(cut.select("cell", "c"), "cell").join(all_classes.select("node", "embedding"), "node").select("cell", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), "main", "node", "embedding", F.lit(None).cast("array<double>").alias("centres"))
+        heads = cut.select("cell", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("main"), F.lit(None).cast("string").alias("node"), F.lit(None).cast(kind).alias("embedding"), "centres")
+        dealt = heads.unionByName(rows).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("node").asc_nulls_first())
+        children = dealt.select("cell", "main", "node", "embedding", "centres").mapInArrow(_router(overlap), "node string, parent bigint, child int, main boolean")
+        children = children.select("node", F.xxhash64("parent", "child").alias("cell"), "main", F.lit(False).alias("whole"))
+        seen = fitted.select(F.col("cell").alias("f_cell"), F.col("centres").isNull().alias("dense"))
+        rest = place.join(seen, F.col("cell") == F.col("f_cell"), "left").where("coalesce(whole OR dense, true)").select("node", "cell", "main", F.coalesce(F.col("whole") | F.col("dense"), F.lit(False)).alias("whole"))
+        place = scratch.keep(children.unionByName(rest), f"place-{tag}-{level}")
+        scratch.drop(f"place-{tag}-{level - 1}")
+    return place.select("node", "cell")
 
 
 def _build(table: pa.Table) -> pa.Table:
-    unit = _unit(table.column("embedding").combine_chunks())
-    names = table.column("node").combine_chunks()
-    links = build(unit)
-    ends = np.cumsum([0, *map(len, links)], dtype=np.int32)
-    near = names.take(pa.array(np.concatenate(links) if len(links) else np.zeros(0, np.int64)))
-    return pa.table({"node": names, "near": pa.ListArray.from_arrays(pa.array(ends), near)})
+    graph = build(_unit(table.column("embedding").combine_chunks()).astype(np.float32))
+    names = table.column("short").to_numpy()
+    return pa.table({"short": names, "near": pa.ListArray.from_arrays(pa.array(np.r_[graph.start, len(graph.near)].astype(np.int32)), pa.array(names[graph.near]))})
 
 
-def _search(threshold: float, beam: int):
+def _search(threshold: float, beam: int):  # noqa: ANN202
     def work(table: pa.Table) -> pa.Table:
         n = len(table)
         unit = _unit(table.column("embedding").combine_chunks())
-        names = table.column("node").to_pylist()
-        place = {x: k for k, x in enumerate(names)}
-        links = [np.array([place[x] for x in near if x in place], np.int64) if near else np.zeros(0, np.int64) for near in table.column("near").to_pylist()]
-        copies = table.column("copies").to_numpy()
-        cells, chunk = table.column("cells").to_pylist(), table.column("chunk").to_pylist()
+        names, short = table.column("node"), table.column("short").to_numpy()
+        # United lists of those classes that this shard has.
+        lists = table.column("near").combine_chunks()
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        flat = lists.flatten().to_numpy()
+        by = np.argsort(short, kind="stable")
+        at = by[np.minimum(np.searchsorted(short[by], flat), n - 1)]
+        fine = short[at] == flat
+        graph = Graph.of(np.repeat(np.arange(n), size)[fine], at[fine], n)
+        own = table.column("cells").combine_chunks()
+        width = pc.list_value_length(own).to_numpy()
+        most = int(width.max())
+        cell_of = np.full((n, most), -1, np.int64)  # positions of sorted cells; -1: none
+        every, flat_cells = np.unique(own.flatten().to_numpy(), return_inverse=True)
+        r = np.repeat(np.arange(n), width)
+        cell_of[r, np.arange(len(r)) - np.repeat(np.cumsum(width) - width, width)] = flat_cells
         cell, low, high = (table.column(c)[0].as_py() for c in ("cell", "low", "high"))
-        found = range_search(unit, links, np.arange(n), np.array([medoid(unit)]), threshold, beam)
-        count, root = np.zeros(n, np.int64), np.arange(n)
-        cell_sets = [set(x) for x in cells]
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = int(root[x])
-            return x
-
-        for k in range(n):
-            near = found[k]
-            if not len(near):
-                continue
-            exact = (unit[near] * unit[k]).sum(1) >= threshold
-            for j in near[exact].tolist():
-                a, b = top(k), top(j)
-                root[max(a, b)] = min(a, b)
-                # A pair that meets in several shards counts in the first of them.
-                if min(cell_sets[k] & cell_sets[j]) == cell and (chunk[k] != chunk[j] or low == high or _first_pair(chunk[k], low, high)):
-                    count[k] += copies[j]
-        return pa.table({"node": names, "links": count, "root": [names[top(k)] for k in range(n)]})
+        here = int(np.searchsorted(every, cell))
+        chunk, copies = table.column("chunk").to_numpy(), table.column("copies").to_numpy()
+        # Two classes of the same chunk meet in every pair of it: the first is (0, 1) or (0, chunk).
+        leads = np.array([low == high or (low, high) == ((0, 1) if c == 0 else (0, c)) for c in chunk.tolist()])
+        links, root = np.zeros(n, np.int64), np.arange(n)
+        rough = unit.astype(np.float32)
+        for q, v in range_search(rough, graph, np.arange(n), medoid(rough), threshold - 1e-5, beam):
+            exact = dots(unit, q, unit, v) >= threshold
+            q, v = q[exact], v[exact]
+            # A pair that meets in several shards counts in the least of its common cells.
+            first = np.full(len(q), len(every))
+            for i in range(most):
+                own_i = cell_of[q, i]
+                common = ((cell_of[v] == own_i[:, None]) & (own_i >= 0)[:, None]).any(1)
+                first = np.where(common, np.minimum(first, own_i), first)
+            counted = (first == here) & ((chunk[q] != chunk[v]) | leads[q])
+            links += np.bincount(q[counted], copies[v[counted]], minlength=n).astype(np.int64)
+            _unite(root, q, v)
+        top = root[root]
+        while (top != root).any():
+            root, top = top, top[top]
+        return pa.table({"node": names, "links": links, "root": names.combine_chunks().take(pa.array(root))})
 
     return work
 
 
-def _first_pair(chunk: int, low: int, high: int) -> bool:
-    """Two classes of the same chunk meet in every pair of it: the first is (0, 1) or (0, chunk)."""
-    return (low, high) == ((0, 1) if chunk == 0 else (0, chunk))
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of linked rows: every root points to the least root that it meets."""
+    while len(a):
+        for side in (a, b):
+            while (root[root[side]] != root[side]).any():
+                root[side] = root[root[side]]
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, overlap: int = 2, cell_goal: int = 1500, shard_cap: int = 6000, sample_rows: int = 50_000, beam: int = 32, audit_queries: int = 64, least_recall: float = 0.95) -> DataFrame:
-    """``vectors(vec_id, embedding, label)`` -> vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, overlap: int = 2, cell_goal: int = 256, shard_cap: int = 1024, beam: int = 32, audit_queries: int = 512, least_recall: float = 0.95) -> DataFrame:
+    """``vectors(vec_id, embedding, label)`` -> vec_id, n_links, component_id, kept, audited_recall."""
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark, "embeddings")
     all_classes = scratch.keep(classes(vectors), "classes")
-    centres = centroids(all_classes, sample_rows, cell_goal)
-    shared = spark.sparkContext.broadcast(centres)  # at most sample_rows / 8 vectors
-    most = max([1, *map(len, centres.values())])
     while True:
-        counts, edges = _links(all_classes, shared, overlap, shard_cap, threshold, beam, scratch)
-        if overlap >= most or recall(all_classes, counts, threshold, audit_queries) >= least_recall:
+        placed = cells(all_classes, overlap, cell_goal, shard_cap, threshold, scratch)
+        counts, edges = _links(all_classes, placed, overlap, shard_cap, threshold, beam, scratch)
+        measured = recall(all_classes, counts, threshold, audit_queries)
+        if measured >= least_recall or overlap > MOST_OVERLAP:
             break
         overlap *= 2
     roots = components(spark, edges, scratch)
@@ -179,55 +246,55 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, overlap: int =
     rows = vectors.select("vec_id", _key().alias("node"))
     out = rows.join(member, F.col("node") == F.col("m_node"), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(measured).alias("audited_recall"))
 
 
-def _links(all_classes: DataFrame, shared, overlap: int, cap: int, threshold: float, beam: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+def _links(all_classes: DataFrame, placed: DataFrame, overlap: int, cap: int, threshold: float, beam: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, links) and edges (a, b) of all classes."""
-    routed = all_classes.select("node", "label", "embedding").mapInArrow(_router(shared, overlap), "node string, cells array<int>")
-    routed = scratch.keep(routed, f"routed-{overlap}")
-    placed = all_classes.join(routed, "node").withColumn("d", F.size("embedding")).withColumn("cell", F.explode("cells"))
-    sizes = placed.groupBy("label", "d", "cell").agg(F.count("*").alias("c"))
-    sizes = scratch.keep(sizes.select(F.col("label").alias("s_label"), F.col("d").alias("s_d"), F.col("cell").alias("s_cell"), F.ceil(F.col("c") / F.lit(cap)).cast("int").alias("s")), f"sizes-{overlap}")
-    placed = placed.join(sizes, (F.col("label") == F.col("s_label")) & (F.col("d") == F.col("s_d")) & (F.col("cell") == F.col("s_cell"))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > cap).select(F.col("cell").alias("s_cell"), F.ceil(F.col("c") / (cap // 2)).cast("int").alias("many"))
+    sizes = scratch.keep(sizes, f"sizes-{overlap}")
+    lists = placed.groupBy("node").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    rows = all_classes.select("node", "grp", "embedding", "copies", F.xxhash64("node").alias("short")).join(lists, "node").withColumn("cell", F.explode("cells"))
+    rows = rows.join(sizes, F.col("cell") == F.col("s_cell"), "left").withColumn("s", F.coalesce("many", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("s")).cast("int"))
     pairs = F.when(F.col("s") > 1, F.transform(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda j: j != F.col("chunk")), lambda j: F.struct(F.least(j, F.col("chunk")).alias("low"), F.greatest(j, F.col("chunk")).alias("high")))).otherwise(F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))))
-    shards = placed.withColumn("p", F.explode(pairs)).select("node", "label", "d", "embedding", "copies", "cells", "cell", "chunk", "p.low", "p.high")
+    shards = rows.withColumn("p", F.explode(pairs)).select("node", "short", "grp", "embedding", "copies", "cells", "cell", "chunk", "p.low", "p.high")
     shards = scratch.keep(shards, f"shards-{overlap}")
-    key = ["label", "d", "cell", "low", "high"]
-    built = shards.groupBy(*key).applyInArrow(_build, "node string, near array<string>")
-    # The lists of a class from its shards, united: the degree times its shards at most.
-    built = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    graph = scratch.keep(built, f"graph-{overlap}")
-    met = shards.join(graph, "node", "left").groupBy(*key).applyInArrow(_search(threshold, beam), "node string, links bigint, root string")
+    key = ["grp", "cell", "low", "high"]
+    built = shards.select(*key, "short", "embedding").groupBy(*key).applyInArrow(_build, "short bigint, near array<bigint>")
+    # The lists of a class from its shards, united.
+    graph = scratch.keep(built.groupBy("short").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"graph-{overlap}")
+    met = shards.join(graph, "short", "left").groupBy(*key).applyInArrow(_search(threshold, beam), "node string, links bigint, root string")
     met = scratch.keep(met, f"met-{overlap}")
+    scratch.drop(f"shards-{overlap}")
+    scratch.drop(f"graph-{overlap}")
     return met.groupBy("node").agg(F.sum("links").alias("links")), met.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def recall(all_classes: DataFrame, counts: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the links of ``queries`` classes (of those with the least hash) that the counts
-    have, against brute force over all classes."""
-    chosen = all_classes.orderBy(F.xxhash64("node"), "node").limit(queries).select("node", "label", "embedding").toArrow().to_pylist()
-    wanted: dict = {}
-    for r in chosen:
-        v = np.array(r["embedding"])
-        wanted.setdefault((r["label"], len(v)), []).append((r["node"], v / np.linalg.norm(v)))
+    """Share of the links of ``queries`` classes that the counts have, against brute force over
+    all classes."""
+    chosen = all_classes.orderBy(F.desc("asked"), F.xxhash64("node"), "node").limit(queries).select("node", "grp", "embedding").toArrow()
+    asked: dict[str, tuple[list[str], np.ndarray]] = {}
+    for g in chosen.column("grp").unique().to_pylist():
+        own = chosen.filter(pc.equal(chosen.column("grp"), g))
+        asked[g] = (own.column("node").to_pylist(), _unit(own.column("embedding").combine_chunks()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
         for b in batches:
-            labels, length, names, copies = b.column(1).to_pylist(), np.diff(b.column(2).offsets.to_numpy()), b.column(0).to_pylist(), b.column(3).to_numpy()
-            for (label, d), own in wanted.items():
-                rows = [k for k in range(b.num_rows) if labels[k] == label and length[k] == d]
-                if rows:
-                    s = _unit(b.column(2).take(pa.array(rows))) @ np.array([v for _, v in own]).T
-                    for j, (node, _) in enumerate(own):
-                        total[node] = total.get(node, 0) + sum(int(copies[rows[i]]) for i in np.flatnonzero(s[:, j] >= threshold) if names[rows[i]] != node)
+            for g, (nodes, wanted) in asked.items():
+                own = b.filter(pc.equal(b.column(1), g))
+                if own.num_rows:
+                    copies = own.column(3).to_numpy()
+                    for node, n in zip(nodes, copies @ (_unit(own.column(2)) @ wanted.T >= threshold), strict=True):
+                        total[node] = total.get(node, 0) + int(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["node", "n"])
 
-    there = {r["node"]: r["n"] for r in all_classes.select("node", "label", "embedding", "copies").mapInArrow(count, "node string, n bigint").groupBy("node").agg(F.sum("n").alias("n")).collect()}
-    got = {r["node"]: r["links"] for r in counts.where(F.col("node").isin([r["node"] for r in chosen])).collect()} if chosen else {}
-    total = sum(there.values())
-    return sum(min(n, got.get(node, 0)) for node, n in there.items()) / total if total else 1.0
+    there = all_classes.select("node", "grp", "embedding", "copies").mapInArrow(count, "node string, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+    # A class meets itself in brute force; its own copies are no links between classes.
+    both = there.join(all_classes.select("node", "copies"), "node").join(counts, "node", "left").select((F.col("n") - F.col("copies")).alias("n"), F.coalesce("links", F.lit(0)).alias("links"))
+    got = both.agg(F.sum(F.least("n", "links")).alias("found"), F.sum("n").alias("all")).first()
+    return got["found"] / got["all"] if got["all"] else 1.0
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
