@@ -1,6 +1,6 @@
 """Odd inputs of the training-data operators: nulls in any column, empty and very long texts,
-ties and repeated rows, empty tables, further columns with clashing names. And brute-force
-versions of line dedup and the licence scan."""
+ties and repeated rows, empty tables, further columns with clashing names. And a brute-force
+version of the licence scan."""
 
 import duckdb
 import pytest
@@ -39,8 +39,8 @@ ODD = [(1, None), (2, ""), (3, "   \n\t "), (None, "A text without an id."), (No
 
 
 def test_line_dedup_of_odd_rows(spark):
-    out = line_dedup.dedup_lines(_docs(spark, ODD, "e_id line_cut __x tk h"))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "e_id", "__x", "tk", "h", "line_cut"]
+    out = line_dedup.dedup_lines(_docs(spark, ODD, "e_id line_cut __cut tk E_ID2"))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "e_id", "__cut", "tk", "E_ID2", "line_cut"]
     assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in out.collect()])) == sorted(map(repr, ODD))
     assert line_dedup.dedup_lines(_docs(spark, [])).count() == 0
 
@@ -52,30 +52,6 @@ def test_line_dedup_cuts_a_passage_from_the_later_document_only(spark):
     assert found[3].split() == "Another head. Another end.".split() and found[4].strip() == ""
 
 
-def test_line_dedup_against_all_pairs(spark):
-    """Every run of equal lines with any earlier document, by diagonals, without an index."""
-    docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet' ORDER BY doc_id").fetchall()
-    keys = {d: line_dedup.line_keys(t).tolist() for d, t in docs}
-    wanted = {}
-    for later, b in keys.items():
-        cut = set()
-        for earlier, a in keys.items():
-            if earlier < later and set(a) & set(b):
-                for shift in range(-len(a) + 1, len(b)):
-                    run = []
-                    for i in range(max(0, -shift), min(len(a), len(b) - shift) + 1):
-                        j = i + shift
-                        if i < len(a) and j < len(b) and a[i] == b[j]:
-                            run.append(j)
-                            continue
-                        if sum(b[k] & 0xFF for k in run) >= 25:
-                            cut |= set(run)
-                        run = []
-        wanted[later] = len(cut)
-    found = {r["doc_id"]: r["lines"] for r in line_dedup.dedup_lines(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "line_cut.lines").collect()}
-    assert found == wanted
-
-
 def test_chat_of_odd_rows(spark):
     shape = "conv_id bigint, turn bigint, role string, text string, window int, loss string"
     rows = [(1, 0, "system", None, 1, ""), (1, 1, "user", "", 1, ""), (1, 1, "assistant", "tie", 1, ""), (1, 1, "assistant", "tie", 1, ""), (None, None, None, None, None, None), (2, None, "assistant", "word " * 40_000, 1, ""), (2, 3, "ro\nle<|end|>", "\\.<|turn|>user\n<|end|>\n", 1, "")]

@@ -1,12 +1,18 @@
 """Line dedup: overlapping documents meet through shared rare line hashes, are aligned with
 patience diff, and aligned common blocks are deleted from the later document.
 
-A line is a physical line cut further behind sentence ends, and a longer run of words behind
-words chosen by their hash, so that a passage pasted into a paragraph keeps lines of its own.
-Each line hash leads a document to the earliest document that has the line (one pair for each
-document and line, however common the line is). Pairs whose shared lines can't make up a block
-are left out. A block is a run of lines consecutive in both documents with at least
-``min_block_words`` words. The earliest holder of a line always keeps it.
+Words are runs of bytes that are no ASCII white space; white space between them doesn't count. A line ends
+at a line break, behind a sentence end, and behind words chosen by their hash (one of ``CUT``), so
+that a passage pasted into a paragraph is cut in the same places wherever it stands.
+
+A document is looked up by windows: from every line, the run of lines that reaches
+``min_block_words`` words. A window that an earlier document has leads to the earliest such document
+(one pair for each document and window, however common the window is). The lines of a pair are aligned,
+and every run of lines that reaches ``min_block_words`` is a block; it is extended word by word into the
+lines beside it, all words compared by 64-bit hashes, and deleted from the later document. So of a run
+of whole lines that some earlier document has, every window of ``min_block_words`` words goes; what can
+stay is less than a window at its end, where all holders of its windows go on differently. The
+earliest holder of a window always keeps it.
 
 Defined results of odd inputs: null and empty texts stay as they are; rows with a null id are
 returned unchanged; rows that repeat an id count as versions of one document and aren't
@@ -16,55 +22,105 @@ and only one named like ``cut_col`` is replaced by the operator's own.
 
 from __future__ import annotations
 
-import re
-import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, ship
 
-_END = re.compile(r"\n+|[.!?…][\"')\]»”]*[ \t\r\f\v]+")
-_WORD = re.compile(r"(\S+)\s+")
-LONG, CUT = 32, 12  # a line of over LONG words is cut behind words whose CRC is a multiple of CUT
-MIN_ANCHOR_WORDS = 4
-
-
-def line_ends(text: str) -> list[int]:
-    """The end of each line; together the lines are the whole text."""
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    out, start = [], 0
-    for end in ends:
-        if end - start > 2 * LONG and text.count(" ", start, end) >= LONG:
-            for m in _WORD.finditer(text, start, end):
-                if m.end() < end and zlib.crc32(m[1].encode("utf-8", "surrogatepass")) % CUT == 0:
-                    out.append(m.end())
-        out.append(end)
-        start = end
-    return out
+CUT = 8  # a line ends behind a word whose hash is a multiple of CUT
+FEW = 1_000_000  # ids at most that are broadcast as a filter
+SALT = 2_000  # later documents that one group aligns with an earlier one
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_STOP = np.isin(np.arange(256), list(b".!?"))
+_CLOSER = np.isin(np.arange(256), list(b"\"')]}"))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base squared and so on, modulo 2**64."""
+    out = np.full(max(n, 1), base)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
 
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of values weighed by powers, and the inverse powers: the hash of positions
+    a..b-1 is (sums[b] - sums[a]) * inverse[a], wherever they stand."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_MULT, len(values))[: len(values)], out=sums[1:])
+    return sums, _powers(_BACK, len(values) + 1)
 
-def line_keys(text: str | None) -> np.ndarray:
-    """A signed 64-bit key for each line: 56 bits of hash and 8 bits of words (255 at most)."""
-    if not text:
-        return np.zeros(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    keys, start = [], 0
-    for end in line_ends(text):
-        line = text[start:end].strip()
-        words = line.count(" ") + 1 if line else 0
-        keys.append((digest(line.encode("utf-8", "surrogatepass")) & ~0xFF) | min(words, 255))
-        start = end
-    return np.array(keys, np.uint64).view(np.int64)
+
+@dataclass
+class Lines:
+    """Words and lines of several texts, one behind the other."""
+
+    word: np.ndarray  # hash of each word
+    begin: np.ndarray  # first byte of each word, from the beginning of its own text
+    end: np.ndarray
+    words_at: np.ndarray  # first word of each text, and the number of all words
+    first: np.ndarray  # first word of each line, and the number of all words
+    key: np.ndarray  # 64-bit hash of each line
+    lines_at: np.ndarray  # first line of each text, and the number of all lines
+
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray) -> Lines:
+        """``data``: bytes of the texts; ``offsets``: where each begins, and the end."""
+        offsets = offsets.astype(np.int64) - int(offsets[0])
+        white = _WHITE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        begins = np.flatnonzero(~white & (np.r_[True, white[:-1]] | edge[:-1])) if len(data) else np.zeros(0, np.int64)
+        ends = np.flatnonzero(~white & (np.r_[white[1:], True] | edge[1:])) + 1 if len(data) else begins
+        text = np.searchsorted(offsets, begins, "right") - 1
+        sums, inverse = _sums(_BYTE[data])
+        word = _mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
+        n = len(word)
+        cut = word % np.uint64(CUT) == 0
+        last = data[ends - 1] if n else np.zeros(0, np.uint8)
+        before = data[np.maximum(ends - 2, begins)] if n else last
+        cut |= _STOP[last] | (_CLOSER[last] & _STOP[before])
+        breaks = np.cumsum(np.r_[0, data == 10])
+        if n:
+            cut[:-1] |= (breaks[begins[1:]] > breaks[ends[:-1]]) | (text[1:] != text[:-1])
+            cut[-1] = True
+        first = np.r_[0, np.flatnonzero(cut) + 1] if n else np.zeros(1, np.int64)
+        sums, inverse = _sums(word)
+        key = _mix((sums[first[1:]] - sums[first[:-1]]) * inverse[first[:-1]])
+        each = np.arange(len(offsets))
+        return Lines(word, begins - offsets[text], ends - offsets[text], np.searchsorted(text, each), first, key, np.searchsorted(text[first[:-1]], each))
+
+    @staticmethod
+    def of_texts(texts: pa.Array) -> Lines:
+        texts = texts.cast(pa.large_string()).fill_null("") if texts.null_count else texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        return Lines.of(np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8), at)
+
+    def windows(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the shortest run of lines from each line that has ``min_words`` words."""
+        stop = np.searchsorted(self.first, self.first[:-1] + min_words)
+        text = np.repeat(np.arange(len(self.lines_at) - 1), np.diff(self.lines_at))
+        fits = stop <= self.lines_at[1:][text]
+        at, stop = np.flatnonzero(fits), stop[fits]
+        sums, inverse = _sums(self.word)
+        a, b = self.first[at], self.first[stop]
+        return text[at], _mix((sums[b] - sums[a]) * inverse[a] + np.uint64(0x6C696E65)).view(np.int64)
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -127,73 +183,112 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _longest_runs(a: list[int], b: list[int], min_words: int) -> list[int]:
-    """Positions of ``b`` in runs of at least ``min_words`` words that ``a`` has somewhere, by
+def _longest_runs(a: list[int], b: list[int], sizes: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """Runs (first line in a, first in b, lines) that both have, of ``min_words`` words at least, by
     diagonals: no alignment is chosen, so none hides a run."""
     at: dict[int, list[int]] = {}
     for i, x in enumerate(a):
         at.setdefault(x, []).append(i)
-    if sum(x & 0xFF for x in b if x in at) < min_words:
+    if sum(n for x, n in zip(b, sizes, strict=True) if x in at) < min_words:
         return []
-    found: set[int] = set()
+    found: list[tuple[int, int, int]] = []
     before: dict[int, tuple[int, int]] = {}  # last line in a -> (first line in b, words) of the run so far
     for j in range(len(b) + 1):
         now: dict[int, tuple[int, int]] = {}
         for i in at.get(b[j], ()) if j < len(b) else ():
             first, words = before.pop(i - 1, (j, 0))
-            now[i] = (first, words + (b[j] & 0xFF))
-        for first, words in before.values():  # runs that end here
-            if words >= min_words:
-                found.update(range(first, j))
+            now[i] = (first, words + sizes[j])
+        found += [(i - (j - 1 - first), first, j - first) for i, (first, words) in before.items() if words >= min_words]
         before = now
-    return sorted(found)
+    return found
 
 
-def common_blocks(earlier: np.ndarray, later: np.ndarray, min_words: int) -> list[int]:
-    """Positions of the lines of ``later`` that lie in a block shared with ``earlier``. Aligns
-    again without the lines found, until nothing is found: blocks in another order, and second
-    copies of a block, are found too. What is left is searched by diagonals, as an alignment of
-    many short lines can stand in the way of a longer block."""
-    a, b = earlier.tolist(), later.tolist()
-    gone: list[int] = []
+def common_blocks(a: list[int], b: list[int], sizes: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """Blocks (first line in a, first line in b, lines) of the lines ``b`` (``sizes``: words of
+    each) that ``a`` has too. Aligns again without the lines found, until nothing is found: blocks
+    in another order, and second copies of a block, are found too. What is left is searched by
+    diagonals, as an alignment of many short lines can stand in the way of a longer block."""
+    b, gone = list(b), 0
+    out: list[tuple[int, int, int]] = []
     while True:
-        run: list[int] = []
-        found: list[int] = []
-        last = (-2, -2)
+        found: list[tuple[int, int, int]] = []
+        run, words = (0, 0, 0), 0
         for i, j in [*patience(a, b), (-1, -1)]:
-            if (i, j) != (last[0] + 1, last[1] + 1):
-                if sum(b[x] & 0xFF for x in run) >= min_words:
-                    found += run
-                run = []
-            run.append(j)
-            last = (i, j)
-        if not found:
-            found = _longest_runs(a, b, min_words)
-        if not found:
-            return sorted(gone)
-        gone += found
-        for j in found:
-            b[j] = -(1 << 70) - j  # outside 64 bits: equals no key
-        if len(gone) == len(b):
-            return sorted(gone)
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [line_keys(t) for t in b.column(2).to_pylist()]
-        for at in range(0, len(rows), 512):
-            part = rows[at : at + 512]
-            ends = np.cumsum([0, *map(len, part)], dtype=np.int32)
-            flat = np.concatenate(part) if part else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 512], b.column(1)[at : at + 512], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "tk", "h"])
-
-
-def _aligner(min_words: int):
+            if (i, j) != (run[0] + run[2], run[1] + run[2]):
+                if words >= min_words:
+                    found.append(run)
+                run, words = (i, j, 0), 0
+            run, words = (run[0], run[1], run[2] + 1), words + sizes[j]
+        found = found or _longest_runs(a, b, sizes, min_words)
+        out += found
+        for _, j, n in found:
+            for k in range(j, j + n):
+                gone += b[k] >= 0
+                b[k] = -1 - k  # no key is below zero
+        if not found or gone == len(b):
+            return out
+
+
+def shared_ranges(earlier: Lines, later: Lines, e: int, k: int, min_words: int) -> list[int]:
+    """Ranges of words of text k of ``later`` (first, end, first, end ...) that lie in blocks shared
+    with text e of ``earlier``, extended word by word."""
+    a0, a1, b0, b1 = earlier.lines_at[e], earlier.lines_at[e + 1], later.lines_at[k], later.lines_at[k + 1]
+    out: list[int] = []
+    sizes = np.diff(later.first[b0 : b1 + 1]).tolist()
+    aw0, aw1, bw0, bw1 = earlier.words_at[e], earlier.words_at[e + 1], later.words_at[k], later.words_at[k + 1]
+    for i, j, n in common_blocks(earlier.key[a0:a1].tolist(), later.key[b0:b1].tolist(), sizes, min_words):
+        x, y, z = int(earlier.first[a0 + i]), int(later.first[b0 + j]), int(later.first[b0 + j + n])
+        if not np.array_equal(earlier.word[x : x + z - y], later.word[y:z]):
+            continue  # equal hashes of unequal lines
+        end = x + z - y
+        while x > aw0 and y > bw0 and earlier.word[x - 1] == later.word[y - 1]:
+            x, y = x - 1, y - 1
+        while end < aw1 and z < bw1 and earlier.word[end] == later.word[z]:
+            end, z = end + 1, z + 1
+        out += [y - int(bw0), z - int(bw0)]
+    return out
+
+
+def _windows(min_words: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                text, h = Lines.of_texts(part.column(1)).windows(min_words)
+                by = np.lexsort((h, text))
+                text, h = text[by], h[by]
+                once = np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
+                ends = np.searchsorted(text[once], np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[once]))], names=["doc_id", "w"])
+
+    return run
+
+
+def _aligner(min_words: int):  # noqa: ANN202
+    """Rows (e_id, doc_id, tk, text) come by e_id: first the versions of the earlier document, without
+    doc_id, then the later ones."""
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: list[Lines] = []
+        fresh = False
         for b in batches:
-            a_keys, b_keys = b.column(2), b.column(3)
-            cut = [common_blocks(a_keys[k].values.to_numpy(), b_keys[k].values.to_numpy(), min_words) for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.list_(pa.int32()))], names=["doc_id", "tk", "cut"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                head = part.column(1).is_null().to_numpy(zero_copy_only=False)
+                lines = Lines.of_texts(part.column(3))
+                rows, cuts = [], []
+                for k in range(part.num_rows):
+                    if head[k]:
+                        heads = heads if fresh else []
+                        heads.append(Lines.of_texts(part.column(3).slice(k, 1)))
+                        fresh = True
+                        continue
+                    fresh = False
+                    cut = [x for h in heads for x in shared_ranges(h, lines, 0, k, min_words)]
+                    if cut:
+                        rows.append(k)
+                        cuts.append(cut)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(rows, pa.int64())), part.column(2).take(pa.array(rows, pa.int64())), pa.array(cuts, pa.list_(pa.int32()))], names=["doc_id", "tk", "cut"])
 
     return align
 
@@ -207,43 +302,70 @@ def _delete(texts, cuts):  # noqa: ANN001, ANN202
         if text is None or cut is None:
             out.append((text, 0, 0))
             continue
-        ends, gone, start, kept = line_ends(text), set(cut.tolist()), 0, []
-        for k, end in enumerate(ends):
-            if k not in gone:
-                kept.append(text[start:end])
-            start = end
-        rest = "".join(kept)
-        out.append((rest, len(gone), len(text) - len(rest)))
+        lines = Lines.of_texts(pa.array([text]))
+        n = len(lines.word)
+        flips = np.zeros(n + 1, np.int64)
+        np.add.at(flips, cut[0::2], 1)
+        np.add.at(flips, cut[1::2], -1)
+        gone = np.cumsum(flips)[:n] > 0
+        raw, kept, start = text.encode(), [], 0
+        first = np.flatnonzero(gone & ~np.r_[False, gone[:-1]])
+        last = np.flatnonzero(gone & ~np.r_[gone[1:], False])
+        for a, z in zip(first.tolist(), last.tolist(), strict=True):
+            # With a block goes the white space behind it, or before it where it ends the text.
+            kept.append(raw[start : lines.begin[a]])
+            start = int(lines.begin[z + 1]) if z + 1 < n else len(raw)
+        rest = (b"".join(kept) + raw[start:]).decode()
+        whole = np.add.reduceat(gone, lines.first[:-1]) == np.diff(lines.first) if n else np.zeros(0, bool)
+        out.append((rest, int(whole.sum()), len(text) - len(rest)))
     return pd.DataFrame(out, columns=["text", "lines", "chars"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 25, cut_col: str = "line_cut") -> DataFrame:
+def _free(prefix: str, columns: list[str]) -> str:
+    """A name that no column has, in any case."""
+    return prefix + "_" * max([0, *map(len, columns)])
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 16, cut_col: str = "line_cut") -> DataFrame:
     """``docs`` with shared blocks deleted from the later document (by id), and the column
-    ``cut_col`` struct(lines, chars): what was deleted. All rows stay; texts may become empty."""
+    ``cut_col`` struct(lines, chars): whole lines and characters deleted. All rows stay; texts may
+    become empty."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
     kind = dict(docs.dtypes)[id_col]
     text = F.col(f"`{text_col}`")
-    keyed = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    lines = scratch.keep(keyed.mapInArrow(_keys, f"doc_id {kind}, tk bigint, h array<bigint>"), "keys")
-    words = F.col("x").bitwiseAND(F.lit(255).cast("bigint"))
-    anchors = lines.select("doc_id", F.explode(F.array_distinct("h")).alias("x")).where(words >= MIN_ANCHOR_WORDS)
+    keyed = docs.where(F.col(f"`{id_col}`").isNotNull() & text.isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+    windows = scratch.keep(keyed.select("doc_id", "text").mapInArrow(_windows(min_block_words), f"doc_id {kind}, w array<bigint>"), "windows")
+    anchors = windows.select("doc_id", F.explode("w").alias("x"))
     shared = anchors.groupBy("x").agg(F.min("doc_id").alias("e_id"), F.max("doc_id").alias("last_id")).where("e_id < last_id").select("x", "e_id")
     # The joins are merge joins at every size: both sides grow with the corpus, and AQE splits
-    # the partitions of a hot line or a hot earlier document.
-    pairs = anchors.join(scratch.keep(shared, "shared").hint("merge"), "x").where("doc_id > e_id").groupBy("doc_id", "e_id").agg(F.sum(words).alias("w")).where(F.col("w") >= max(1, min_block_words // 2)).select("doc_id", "e_id")
+    # the partitions of a hot window or a hot earlier document.
+    pairs = anchors.join(scratch.keep(shared, "shared").hint("merge"), "x").where("doc_id > e_id").select("doc_id", "e_id").distinct()
     pairs = scratch.keep(pairs, "pairs")
-    early = lines.select(F.col("doc_id").alias("e_id"), F.col("h").alias("e_h"))
-    met = pairs.hint("merge").join(early, "e_id").join(lines.hint("merge"), "doc_id").select("doc_id", "tk", "e_h", "h")
-    cuts = met.mapInArrow(_aligner(min_block_words), f"doc_id {kind}, tk bigint, cut array<int>").where(F.size("cut") > 0)
-    cuts = cuts.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
-    cuts = scratch.keep(cuts, "cuts").select(F.col("doc_id").alias("__cut_id"), F.col("tk").alias("__cut_tk"), F.col("cut").alias("__cut_lines"))
-    joined = docs.alias("d").join(cuts.hint("merge"), (F.col(f"d.`{id_col}`") == F.col("__cut_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("__cut_tk")), "left")
-    hit = F.col("__cut_lines").isNotNull()
-    joined = joined.withColumn("__cut", _delete(F.when(hit, F.col(f"d.`{text_col}`")), F.col("__cut_lines")))
-    keep = [F.when(hit, F.col("__cut.text")).otherwise(F.col(f"d.`{c}`")).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c != cut_col]
-    cut = F.struct(F.coalesce("__cut.lines", F.lit(0)).alias("lines"), F.coalesce("__cut.chars", F.lit(0)).alias("chars"))
+    salts = scratch.keep(pairs.groupBy("e_id").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("s")), "salts")
+    met = scratch.keep(pairs.select("doc_id").distinct(), "met")
+    scratch.drop("windows")
+    scratch.drop("shared")
+
+    def of(ids: DataFrame, name: str) -> DataFrame:
+        """Texts of the documents in ``ids``, a filter that is broadcast while it is small."""
+        ids = ids.select(F.col(name).alias("doc_id"))
+        return keyed.join(F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge"), "doc_id", "left_semi")
+
+    later = pairs.join(salts, "e_id").select("doc_id", "e_id", F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int").alias("salt"))
+    later = later.hint("merge").join(of(met, "doc_id"), "doc_id").select("e_id", "salt", "doc_id", "tk", "text")
+    heads = of(salts, "e_id").join(salts, F.col("doc_id") == F.col("e_id")).select("e_id", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.lit(None).cast(kind).alias("doc_id"), "tk", "text")
+    dealt = heads.unionByName(later).repartition("e_id", "salt").sortWithinPartitions("e_id", "salt", F.col("doc_id").asc_nulls_first(), "tk")
+    cuts = dealt.select("e_id", "doc_id", "tk", "text").mapInArrow(_aligner(min_block_words), f"doc_id {kind}, tk bigint, cut array<int>")
+    cuts = cuts.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("cut")).alias("cut"))
+    i, k, c, d = (_free(x, [*docs.columns, cut_col]) for x in ("i", "k", "c", "d"))
+    cuts = scratch.keep(cuts, "cuts").select(F.col("doc_id").alias(i), F.col("tk").alias(k), F.col("cut").alias(c))
+    joined = docs.alias("d").join(cuts.hint("merge"), (F.col(f"d.`{id_col}`") == F.col(i)) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col(k)), "left")
+    hit = F.col(c).isNotNull()
+    joined = joined.withColumn(d, _delete(F.when(hit, F.col(f"d.`{text_col}`")), F.col(c)))
+    keep = [F.when(hit, F.col(f"{d}.text")).otherwise(F.col(f"d.`{x}`")).alias(x) if x == text_col else F.col(f"d.`{x}`") for x in docs.columns if x != cut_col]
+    cut = F.struct(F.coalesce(F.col(f"{d}.lines"), F.lit(0)).alias("lines"), F.coalesce(F.col(f"{d}.chars"), F.lit(0)).alias("chars"))
     return joined.select(*keep, cut.alias(cut_col))
 
 
