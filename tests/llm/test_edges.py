@@ -123,15 +123,37 @@ def test_bpe_of_odd_rows(spark):
     assert bpe.encode_documents(_docs(spark, [])).count() == 0
 
 
+def _leaks(spark, rows, items):
+    docs = _docs(spark, rows, "item_id coverage m tk h") if isinstance(rows, list) else rows
+    found = decontaminate.contamination(docs, items)
+    tk, tl = decontaminate.text_keys(F.col("text"))
+    own = docs.select("doc_id", tk.alias("tk"), tl.alias("tl"))
+    return sorted(map(tuple, own.join(found, ["tk", "tl"]).select("doc_id", "item_id").collect()))
+
+
 def test_decontamination_of_odd_rows(spark):
     item = "A farmer named Alice has 12 apples and gives 5 kg of them to her friend Robert who then sells all but 12 of the fruit at the market."
     again = item.replace("12", "37").replace("Alice", "Maria").replace(" 5 ", " 9 ").replace("Robert", "Peter")
     items = spark.createDataFrame([(1, item, "own"), (1, item, "own"), (2, None, "own"), (3, "", "own"), (None, "?!", "own")], "item_id bigint, text string, windows string")
-    docs = _docs(spark, [*ODD, (20, f"{_prose(3, 30)}. {item} {_prose(4, 30)}"), (21, again), (22, _prose(5, 200))], "item_id coverage m")
-    found = docs.select("doc_id", F.explode(decontaminate.contamination(docs, items)).alias("m")).select("doc_id", "m.item_id").collect()
-    assert sorted(map(tuple, found)) == [(20, 1), (20, 1), (21, 1), (21, 1)]
-    for d, i in ((docs.limit(0), items), (docs, items.limit(0))):
-        assert d.where(F.size(decontaminate.contamination(d, i)) > 0).count() == 0
+    rows = [*ODD, (20, f"{_prose(3, 30)}. {item} {_prose(4, 30)}"), (21, again), (22, _prose(5, 200))]
+    assert _leaks(spark, rows, items) == [(20, 1), (20, 1), (21, 1), (21, 1)]
+    assert _leaks(spark, [], items) == []
+    assert _leaks(spark, rows, items.limit(0)) == []
+
+
+def test_decontamination_of_hard_items(spark):
+    """Items full of numbers, short items behind a word, passages of less than half an item, frames
+    with other values, and text ids."""
+    numbers = "Give the sum of all the given numbers " + " ".join(str(7 * k) for k in range(20)) + "."
+    long = _prose(50, 70)
+    frame = "Yesterday Anna bought 3 kg of rice and 4 kg of corn while Bert bought 5 kg of rice and 6 kg of corn."
+    items = spark.createDataFrame([("numbers", numbers), ("short", "Who wrote the last opera?"), ("long", long), ("frame", frame)], "item_id string, text string")
+    other = frame.replace("Anna", "Cleo").replace("Bert", "Dora").replace(" 3 ", " 8 ").replace(" 4 ", " 9 ").replace(" 5 ", " 11 ").replace(" 6 ", " 2 ")
+    broken = "Yesterday Anna bought 3 kg of rice and 4 kg of corn while Anna bought 3 kg of rice and 3 kg of corn. " * 1
+    rows = [(1, f"{_prose(1, 30)} {numbers} {_prose(2, 9)}"), (2, "they asked then Who wrote the last opera? nobody knew"), (3, f"{_prose(3, 40)}. {' '.join(long.split()[20:45])}. {_prose(4, 40)}"), (4, other), (5, broken), (6, _prose(6, 300)), (7, "Give the sum of all the given numbers " + " ".join(str(5 + 9 * k) for k in range(20)) + "."), (8, " ".join(long.split()[20:34]))]
+    found = _leaks(spark, rows, items)
+    assert [x for x in found if x[0] in (1, 2, 3, 4)] == [(1, "numbers"), (2, "short"), (3, "long"), (4, "frame")]
+    assert not [x for x in found if x[0] in (5, 6, 8)]
 
 
 def test_licenses_of_odd_rows_and_against_plain_code(spark):

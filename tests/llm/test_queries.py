@@ -132,6 +132,15 @@ def test_decontamination_finds_whole_items(spark):
     found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_benchmark_decontamination"](spark, DATA).collect()}
     whole = {(d, i) for d, text in zip(docs.doc_id, docs.text, strict=True) for i, item in zip(items.item_id, items.text, strict=True) if len(item.split()) >= 13 and item in (text or "")}
     assert whole <= found
+    # Nor is anything else found: each one found shares a run of words with the item, bare of
+    # punctuation, as long as half of it or 20 words, numbers aside.
+    bare = lambda text: [w.strip("\"'`.,;:!?()*#&%$").lower() for w in (text or "").split()]
+    text_of, item_of = dict(zip(docs.doc_id, docs.text, strict=True)), dict(zip(items.item_id, items.text, strict=True))
+    for d, i in found - whole:
+        there = set(zip(*(bare(text_of[d])[k:] for k in range(4))))
+        words = bare(item_of[i])
+        covered = {k + j for k in range(len(words) - 3) if tuple(words[k : k + 4]) in there for j in range(4)}
+        assert len(covered) >= 0.3 * len(words) or len(words) < 8, (d, i)
 
 
 def test_pipeline_runs_and_keeps_a_copy_of_each(spark):

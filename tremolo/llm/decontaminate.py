@@ -7,8 +7,17 @@ item meet a document, the values behind the placeholders must map consistently f
 document (one value to one value), which catches re-parameterised copies and leaves texts that
 only share a frame.
 
+A window made of placeholders but for fewer than ``min_literals`` words is hashed with its values:
+such a window counts where the values are the same. An item is found where the windows that meet
+cover ``min_coverage`` of its tokens, or ``min_run`` tokens in one stretch, with slots that agree.
+
 A name is a capitalised word that doesn't start a sentence; neighbours in one name are one
-placeholder. Items shorter than a window are looked up as a whole.
+placeholder. (In languages that capitalise nouns, nouns are placeholders too.) Items shorter than a
+window are looked up as a whole, with their first word as a word and as a name.
+
+The join is a hash join of two tables. Before it, a document's windows are thinned by a bitmap of
+the benchmark's hashes, which has ``BITS`` bits at any size of the benchmark: a fuller bitmap only
+lets more windows into the join.
 
 Defined results of odd inputs: null or empty texts match nothing; items without words match
 nothing; repeated items are reported each; a null doc_id is reported as null; an empty table
@@ -19,15 +28,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Scratch, ship
 
 NUM, NAME, UNIT, CAP, END, BOTH = 1, 2, 4, 8, 16, 32
 _EDGE = "\"'`´‘’“”«»()[]{}<>.,;:!?…|*#&%$"
@@ -43,6 +53,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = {NUM: 0x6E756D62, NAME: 0x6E616D65, UNIT: 0x756E6974}
 _STOPS = frozenset(".!?…:")
 VOCABULARY = 1 << 20
+BITS = 1 << 24
 
 
 class Vocabulary(dict):
@@ -99,7 +110,8 @@ class Template:
     text: np.ndarray
 
 
-def canonicalise(texts: list[str | None]) -> Template:
+def canonicalise(texts: list[str | None], inside: bool = False) -> Template:
+    """``inside``: as if a text stood inside a sentence, where its first word can be a name."""
     global _vocabulary
     if len(_vocabulary) > VOCABULARY:
         _vocabulary = Vocabulary()
@@ -118,7 +130,7 @@ def canonicalise(texts: list[str | None]) -> Template:
     number = (kind & (NUM | BOTH)) > 0
     after = np.r_[False, number[:-1]] & ~first if len(owner) else first
     slot = np.zeros(len(at), np.uint8)
-    slot[(kind & CAP > 0) & ~first & ~ended] = NAME
+    slot[(kind & CAP > 0) & (~ended | first if inside else ~first & ~ended)] = NAME
     slot[(kind & UNIT > 0) & after] = UNIT
     slot[number] = NUM
     # A name's further words and lone punctuation leave; a number with its unit becomes two.
@@ -134,13 +146,13 @@ def canonicalise(texts: list[str | None]) -> Template:
     return Template(out, slot, value, owner)
 
 
-def window_hashes(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of every window of ``width`` tokens inside one text."""
-    n = len(t.key) - width + 1
+def window_hashes(key: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every ``width`` tokens in a row, over the borders of texts too."""
+    n = len(key) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     # Hashes of 1, 2, 4 ... tokens; those in the binary form of the width are joined.
-    piece, size, h, done = (t.key ^ (t.key >> np.uint64(29))) * _MULT, 1, np.zeros(n, np.uint64), 0
+    piece, size, h, done = (key ^ (key >> np.uint64(29))) * _MULT, 1, np.zeros(n, np.uint64), 0
     while True:
         power = np.uint64(pow(int(_MULT), size, 1 << 64))
         if width & size:
@@ -150,128 +162,177 @@ def window_hashes(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
             break
         piece = piece[:-size] * power + piece[size:]
         size *= 2
-    h ^= h >> np.uint64(32)
-    at = np.flatnonzero(t.text[:n] == t.text[width - 1 :])
+    h = (h ^ (h >> np.uint64(32))) * _MULT + np.uint64(width)
+    return h ^ (h >> np.uint64(30))
+
+
+def windows(t: Template, width: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of every window of ``width`` tokens inside one text: of the template where
+    it has words enough, of the values where it hasn't."""
+    n = max(0, len(t.key) - width + 1)
+    literal = np.r_[0, np.cumsum(t.kind == 0)]
+    rich = literal[width:][:n] - literal[:n] >= min(min_literals, -(-width // 2))
+    h = window_hashes(t.key, width)
+    if not rich.all():
+        h = np.where(rich, h, window_hashes(t.value, width) ^ _MULT)
+    at = np.flatnonzero(t.text[:n] == t.text[width - 1 :][:n])
     return at, h[at]
 
 
-class ItemIndex:
-    """Template windows of benchmark items. Windows made of placeholders but for fewer than
-    ``min_literals`` words are no evidence, unless the item has no others."""
-
-    def __init__(self, items: list[tuple[int, str | None]], width: int, min_literals: int):
-        self.width = width
-        self.ids = [i for i, _ in items]
-        t = self.template = canonicalise([x for _, x in items])
-        self.size = np.bincount(t.text, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
-        self.start = np.cumsum(np.r_[0, self.size])[:-1] if len(items) else self.size
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for w in sorted({width, *(int(s) for s in self.size if 0 < s < width)}):
-            at, h = window_hashes(t, w)
-            if w < width:
-                own = self.size[t.text[at]] == w
-                at, h = at[own], h[own]
-            else:
-                literal = np.r_[0, np.cumsum(t.kind == 0)]
-                rich = literal[at + w] - literal[at] >= min_literals
-                some = np.zeros(len(items), bool)
-                some[t.text[at[rich]]] = True
-                rich |= ~some[t.text[at]]
-                at, h = at[rich], h[rich]
-            if len(h):
-                order = np.argsort(h, kind="stable")
-                seen = np.zeros(1 << 16, bool)
-                seen[(h >> np.uint64(48)).astype(np.int64)] = True
-                self.tables[w] = (h[order], at[order], seen)
-
-    def matches(self, texts: list[str | None], min_coverage: float, min_agreement: float) -> list[list[tuple]]:
-        """For each text (item_id, coverage, windows, slots, agreement) of the items found."""
-        t = canonicalise(texts)
-        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for w, (table, item_at, seen) in self.tables.items():
-            at, h = window_hashes(t, w)
-            near = seen[(h >> np.uint64(48)).astype(np.int64)]
-            at, h = at[near], h[near]
-            low, high = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                for p in item_at[low[k] : high[k]].tolist():
-                    hits[(int(t.text[at[k]]), int(self.template.text[p]))].append((p, int(at[k]), w))
-        out: list[list[tuple]] = [[] for _ in texts]
-        for (text, item), found in hits.items():
-            aligned: dict[int, int] = {}
-            for p, d, w in found:
-                for j in range(w):
-                    aligned.setdefault(p + j, d + j)
-            coverage = len(aligned) / int(self.size[item])
-            if coverage < min_coverage:
-                continue
-            there: dict[tuple[int, int], Counter] = defaultdict(Counter)
-            back: dict[tuple[int, int], Counter] = defaultdict(Counter)
-            slots = 0
-            for p, d in aligned.items():
-                s = int(self.template.kind[p])
-                if s and s == int(t.kind[d]):
-                    a, b = int(self.template.value[p]), int(t.value[d])
-                    there[(s, a)][b] += 1
-                    back[(s, b)][a] += 1
-                    slots += 1
-            agree = min(sum(max(c.values()) for c in m.values()) for m in (there, back)) / slots if slots else 1.0
-            if agree >= min_agreement:
-                out[text].append((self.ids[item], coverage, len(found), slots, agree))
-        return out
-
-
-_SHAPE = "array<struct<item_id bigint, coverage double, windows int, slots int, agreement double>>"
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 8, min_literals: int = 4, min_coverage: float = 0.5, min_agreement: float = 0.8, block_chars: int = 64_000_000) -> Column:
-    """A column expression on ``docs``: the benchmark items (item_id, text) found in its text.
-    The benchmark goes to the executors in blocks of at most ``block_chars`` characters (and
-    one item); every block meets every document. No shuffle of the documents."""
+_SLOTS = pa.list_(pa.int64())
+
+
+def _slot_lists(t: Template, at: np.ndarray, width: int) -> tuple[pa.Array, pa.Array]:
+    """Kinds and values of the tokens of windows; a word has kind and value 0."""
+    place = (at[:, None] + np.arange(width)[None, :]).ravel()
+    ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * width)
+    kind = t.kind[place].astype(np.int64)
+    return pa.ListArray.from_arrays(ends, pa.array(kind)), pa.ListArray.from_arrays(ends, pa.array(np.where(kind > 0, t.value[place], np.uint64(0)).view(np.int64)))
+
+
+def _item_windows(width: int, min_literals: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for inside in (False, True):
+                t = canonicalise(texts, inside)
+                size = np.bincount(t.text, minlength=len(texts))
+                start = np.cumsum(size) - size
+                for w in sorted({width, *(int(s) for s in size if 0 < s < width)}):
+                    at, h = windows(t, w, min_literals)
+                    own = t.text[at]
+                    if w < width:
+                        at, h, own = at[size[own] == w], h[size[own] == w], own[size[own] == w]
+                    elif inside:  # only the windows with the first word differ
+                        at, h, own = at[at == start[own]], h[at == start[own]], own[at == start[own]]
+                    kinds, values = _slot_lists(t, at, w)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[own]), pa.array(size[own]), pa.array(at - start[own]), pa.array(np.full(len(at), w)), pa.array(h.view(np.int64)), kinds, values], names=["item", "size", "p", "w", "h", "kinds", "wanted"])
+
+    return run
+
+
+def _doc_windows(shared, widths: list[int], min_literals: int):  # noqa: ANN001, ANN202
+    """The windows of texts whose hash is in the bitmap; equal ones of a text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            at = 0
+            while at < len(texts):  # a few million characters at a time
+                size, end = 0, at
+                while end < len(texts) and (end == at or size < 2_000_000):
+                    size += len(texts[end] or "")
+                    end += 1
+                t = canonicalise(texts[at:end])
+                start = np.searchsorted(t.text, np.arange(end - at))
+                for w in widths:
+                    place, h = windows(t, w, min_literals)
+                    slot = (h & np.uint64(BITS - 1)).astype(np.int64)
+                    near = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+                    place, h = place[near], h[near]
+                    values = window_hashes(t.value, w)[place] if len(place) else h
+                    _, once = np.unique(np.column_stack([t.text[place].astype(np.uint64), h, values]), axis=0, return_index=True) if len(place) else (None, np.zeros(0, np.int64))
+                    place, h = place[once], h[once]
+                    own = t.text[place]
+                    _, there = _slot_lists(t, place, w)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + own)), b.column(1).take(pa.array(at + own)), pa.array(h.view(np.int64)), pa.array(place - start[own]), there], names=["tk", "tl", "h", "d", "there"])
+                at = end
+
+    return run
+
+
+def judge(hits: list[tuple], size: int, min_coverage: float, min_agreement: float, min_run: int) -> tuple[float, int, float] | None:
+    """Whether the hits (p, d, kinds, wanted, there) of an item of ``size`` tokens in a text make a
+    copy: (coverage, slots, agreement). Where windows of an item position meet several places,
+    the place on the line (d - p) with most hits counts."""
+    lines: dict[int, list[tuple]] = defaultdict(list)
+    for hit in hits:
+        lines[hit[1] - hit[0]].append(hit)
+    aligned: dict[int, tuple] = {}
+    run: dict[int, tuple] = {}
+    for line in sorted(lines, key=lambda x: (-len(lines[x]), x)):
+        own: dict[int, tuple] = {}
+        for p, _, kinds, wanted, there in sorted(lines[line]):
+            for j, slot in enumerate(zip(kinds, wanted, there, strict=True)):
+                own.setdefault(p + j, slot)
+        for p, slot in own.items():
+            aligned.setdefault(p, slot)
+        stretch: dict[int, tuple] = {}
+        for p in sorted(own):
+            if p - 1 not in stretch:
+                stretch = {}
+            stretch[p] = own[p]
+            if len(stretch) > len(run):
+                run = dict(stretch)
+    for part, enough in ((aligned, len(aligned) >= min_coverage * size), (run, len(run) >= min_run)):
+        if enough:
+            slots, agreement = _agreement(part.values())
+            if agreement >= min_agreement:
+                return len(aligned) / size, slots, agreement
+    return None
+
+
+def _agreement(slots) -> tuple[int, float]:  # noqa: ANN001
+    """Slots, and the share of them in which one value stands for one value, either way."""
+    there: dict[tuple[int, int], Counter] = defaultdict(Counter)
+    back: dict[tuple[int, int], Counter] = defaultdict(Counter)
+    n = 0
+    for kind, a, b in slots:
+        if kind:
+            there[(kind, a)][b] += 1
+            back[(kind, b)][a] += 1
+            n += 1
+    return n, min(sum(max(c.values()) for c in m.values()) for m in (there, back)) / n if n else 1.0
+
+
+def _judge(min_coverage: float, min_agreement: float, min_run: int):  # noqa: ANN202
+    def run(table: pa.Table) -> pa.Table:
+        size = table.column("size")[0].as_py()
+        hits = list(zip(*(table.column(c).to_pylist() for c in ("p", "d", "kinds", "wanted", "there")), strict=True))
+        found = judge(hits, size, min_coverage, min_agreement, min_run)
+        one = table.slice(0, 1 if found else 0)
+        coverage, slots, agreement = found or (0.0, 0, 0.0)
+        n = len(one)
+        return pa.table({"tk": one.column("tk"), "tl": one.column("tl"), "item": one.column("item"), "coverage": pa.array([coverage] * n, pa.float64()), "windows": pa.array([len(hits)] * n, pa.int32()), "slots": pa.array([slots] * n, pa.int32()), "agreement": pa.array([agreement] * n, pa.float64())})
+
+    return run
+
+
+def text_keys(text):  # noqa: ANN001, ANN201
+    """Two hashes that stand for a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 8, min_literals: int = 4, min_coverage: float = 0.5, min_agreement: float = 0.8, min_run: int = 20) -> DataFrame:
+    """The benchmark items (item_id, text) found in texts of ``docs``: a row (tk, tl, item_id,
+    coverage, windows, slots, agreement) for each different text, given by its ``text_keys``,
+    and item."""
     spark = docs.sparkSession
     ship(spark)
-    total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_chars))
-    found = []
-    for k in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text")
-        items = [(r[0], r[1]) for r in part.toLocalIterator()]
-        shared = spark.sparkContext.broadcast((items, width, min_literals))
-        found.append(_matcher(shared, min_coverage, min_agreement)(F.col(f"`{text_col}`")))
-    return found[0] if blocks == 1 else F.concat(*found)
-
-
-def _matcher(shared, min_coverage: float, min_agreement: float):  # noqa: ANN001, ANN202
-    @F.pandas_udf(_SHAPE)
-    def matches(texts: pd.Series) -> pd.Series:
-        index = _index(shared)
-        out: list = []
-        rows = texts.tolist()
-        at = 0
-        while at < len(rows):  # a few million characters at a time
-            size, end = 0, at
-            while end < len(rows) and (end == at or size < 2_000_000):
-                size += len(rows[end] or "")
-                end += 1
-            out += index.matches(rows[at:end], min_coverage, min_agreement)
-            at = end
-        return pd.Series([[dict(zip(("item_id", "coverage", "windows", "slots", "agreement"), m, strict=True)) for m in x] for x in out])
-
-    return matches
-
-
-_built: dict = {}
-
-
-def _index(shared) -> ItemIndex:  # noqa: ANN001
-    key = (getattr(shared, "_jid", None) or id(shared), shared.value[1], shared.value[2], len(shared.value[0]))
-    if key not in _built:
-        _built.clear()
-        _built[key] = ItemIndex(*shared.value)
-    return _built[key]
+    scratch = Scratch(spark, "leaks")
+    items = scratch.keep(benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id()), "items")
+    wanted = items.select("item", "text").mapInArrow(_item_windows(width, min_literals), "item bigint, size bigint, p bigint, w bigint, h bigint, kinds array<bigint>, wanted array<bigint>")
+    wanted = scratch.keep(wanted, "windows")
+    # BITS / 64 rows at most: a row for each word of the bitmap.
+    slot = F.col("h").bitwiseAND(F.lit(BITS - 1).cast("bigint"))
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(h & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+    widths = sorted(r["w"] for r in wanted.select("w").distinct().collect())  # 1 to width
+    text = F.col(f"`{text_col}`").cast("string")
+    tk, tl = text_keys(text)
+    met = docs.where(text.isNotNull()).select(tk.alias("tk"), tl.alias("tl"), text.alias("text")).mapInArrow(_doc_windows(shared, widths, min_literals), "tk bigint, tl bigint, h bigint, d bigint, there array<bigint>")
+    met = scratch.keep(met.dropDuplicates(["tk", "tl", "h", "d"]), "met")
+    hits = met.join(wanted, "h")  # broadcast by Spark only below its threshold; else a merge join, which AQE splits
+    found = hits.groupBy("tk", "tl", "item").applyInArrow(_judge(min_coverage, min_agreement, min_run), "tk bigint, tl bigint, item bigint, coverage double, windows int, slots int, agreement double")
+    return scratch.keep(found.join(items.select("item", "item_id"), "item").select("tk", "tl", "item_id", "coverage", "windows", "slots", "agreement"), "found")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.select("doc_id", F.explode(contamination(docs, items)).alias("m")).select("doc_id", "m.*")
+    tk, tl = text_keys(F.col("text"))
+    rows = docs.where("text IS NOT NULL").select("doc_id", tk.alias("tk"), tl.alias("tl"))
+    return rows.join(contamination(docs, items), ["tk", "tl"]).drop("tk", "tl")

@@ -46,11 +46,17 @@ _STOP = np.isin(np.arange(256), list(b".!?"))
 _CLOSER = np.isin(np.arange(256), list(b"\"')]}"))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """1, base, base squared and so on, modulo 2**64."""
-    out = np.full(max(n, 1), base)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_powers = {int(x): np.ones(1, np.uint64) for x in (_MULT, _BACK)}
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """The first n of 1, base, base squared and so on, modulo 2**64; kept for the next call."""
+    known = _powers[int(base)]
+    if len(known) < n:
+        known = np.full(1 << int(n).bit_length(), base)
+        known[0] = 1
+        known = _powers[int(base)] = np.multiply.accumulate(known)
+    return known[:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,8 +68,8 @@ def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of values weighed by powers, and the inverse powers: the hash of positions
     a..b-1 is (sums[b] - sums[a]) * inverse[a], wherever they stand."""
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(_MULT, len(values))[: len(values)], out=sums[1:])
-    return sums, _powers(_BACK, len(values) + 1)
+    np.cumsum(values * _power(_MULT, len(values)), out=sums[1:])
+    return sums, _power(_BACK, len(values) + 1)
 
 
 @dataclass
@@ -189,8 +195,6 @@ def _longest_runs(a: list[int], b: list[int], sizes: list[int], min_words: int)
     at: dict[int, list[int]] = {}
     for i, x in enumerate(a):
         at.setdefault(x, []).append(i)
-    if sum(n for x, n in zip(b, sizes, strict=True) if x in at) < min_words:
-        return []
     found: list[tuple[int, int, int]] = []
     before: dict[int, tuple[int, int]] = {}  # last line in a -> (first line in b, words) of the run so far
     for j in range(len(b) + 1):
@@ -208,9 +212,9 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], min_words: int)
     each) that ``a`` has too. Aligns again without the lines found, until nothing is found: blocks
     in another order, and second copies of a block, are found too. What is left is searched by
     diagonals, as an alignment of many short lines can stand in the way of a longer block."""
-    b, gone = list(b), 0
+    b, there = list(b), set(a)
     out: list[tuple[int, int, int]] = []
-    while True:
+    while sum([n for x, n in zip(b, sizes, strict=True) if x in there]) >= min_words:
         found: list[tuple[int, int, int]] = []
         run, words = (0, 0, 0), 0
         for i, j in [*patience(a, b), (-1, -1)]:
@@ -223,10 +227,10 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], min_words: int)
         out += found
         for _, j, n in found:
             for k in range(j, j + n):
-                gone += b[k] >= 0
                 b[k] = -1 - k  # no key is below zero
-        if not found or gone == len(b):
-            return out
+        if not found:
+            break
+    return out
 
 
 def shared_ranges(earlier: Lines, later: Lines, e: int, k: int, min_words: int) -> list[int]:
