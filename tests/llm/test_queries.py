@@ -155,3 +155,22 @@ def test_result_is_json_safe_and_stable(spark, name):
         return sorted(json.dumps(r.asDict(recursive=True), default=str, sort_keys=True) for r in QUERIES[name](spark, DATA).collect())
 
     assert once() == once()
+
+
+def test_additive_model_against_lookups():
+    """Scores by plain loops over the tables, and a model that finds a pair's interaction."""
+    from tremolo.llm.gam import fit
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = fit(x, y)
+    assert (0, 1) in model.pairs
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        total = model.intercept
+        for value, cuts, table in zip(row, model.edges, model.tables, strict=True):
+            total += table[sum(c <= value for c in cuts)]
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[sum(c <= row[i] for c in model.pair_edges[i]), sum(c <= row[j] for c in model.pair_edges[j])]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+    assert ((model.score(x) > 0.5) == (y == 1)).mean() > 0.9

@@ -12,6 +12,7 @@ with several labels counts once for each; without labels the score is a constant
 from __future__ import annotations
 
 from collections import Counter
+from math import log
 from operator import eq
 
 import numpy as np
@@ -24,8 +25,10 @@ from .common import ship
 from .gam import Gam, fit
 
 FEATURES = (
-    "log_words word_length distinct_words distinct_pairs repeats top_word upper title alpha digits hashes percents ampersands dollars stars bars bangs stops commas line_words top_line tail_symbol"
+    "log_words word_length distinct_words distinct_pairs repeats top_word upper title alpha digits symbols symbol_kinds symbol_tails bangs stops commas line_words top_line short_lines word_entropy"
 ).split()
+SYMBOLS = "#%&$*|~^_=+<>@\\{}[]/"  # ASCII marks that prose has few of
+_SYMBOLS, _TAILS = str.maketrans("", "", SYMBOLS), frozenset(SYMBOLS)
 
 
 def features(text: str | None) -> list[float]:
@@ -38,6 +41,7 @@ def features(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x]
     many = Counter(lines).most_common(1)
     c = text.count
+    marks = len(text) - len(text.translate(_SYMBOLS))
     return [
         float(np.log1p(n)),
         len(text) / n,
@@ -49,18 +53,16 @@ def features(text: str | None) -> list[float]:
         sum(map(str.istitle, words)) / n,
         sum(map(str.isalpha, words)) / n,
         sum(map(str.isdigit, words)) / n,
-        c("#") / n,
-        c("%") / n,
-        c("&") / n,
-        c("$") / n,
-        c("*") / n,
-        c("|") / n,
+        marks / n,
+        float(sum(x in text for x in SYMBOLS)) if marks else 0.0,
+        sum(w[-1] in _TAILS for w in count) / len(count) if marks else 0.0,
         c("!") / n,
         c(".") / n,
         c(",") / n,
         n / max(1, len(lines)),
         many[0][1] / len(lines) if many else 0.0,
-        sum(w[-1] in "#%&$*" for w in set(words)) / n,
+        sum(len(x) < 30 for x in lines) / max(1, len(lines)),
+        1.0 - sum(v * log(v) for v in count.values() if v > 1) / (n * log(n)) if n > 1 else 1.0,
     ]
 
 
@@ -82,9 +84,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = known.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64("label_id"), "label_id", "y").limit(max_rows)
-    # max_rows bounds this side: ids and labels of 16 bytes each.
-    rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_key") == F.col("label_id"))
-    got = rows.select("doc_key", "y", _features("text").alias("x")).toPandas()
+    # max_rows bounds this side, ids and labels of 16 bytes each, and once more the rows that
+    # it finds, as ids can repeat.
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_key"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("doc_key") == F.col("label_id"))
+    got = rows.select("doc_key", "y", _features("text").alias("x")).orderBy(F.xxhash64("doc_key", "y", "x"), "doc_key").limit(max_rows).toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     got = got.assign(k=[tuple(v) for v in got["x"]]).sort_values(["doc_key", "y", "k"])  # the same order in every run
