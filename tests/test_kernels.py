@@ -24,7 +24,7 @@ def test_tiling_operator_against_brute_force(spark):
     trains = {u: np.sort(rng.choice(10_000, 40, replace=False)) for u in range(4)}
     rows = [("r", u, int(t)) for u, ts in trains.items() for t in ts]
     df = spark.createDataFrame(rows, "rec string, unit long, tick long")
-    found = connectivity.tiling_coefficient(spikes=df, dt=50, units=4, stop=10_000).collect()
+    found = connectivity.tiling_coefficient(spikes=df, dt=50, stop=10_000).collect()
     assert len(found) == 6
     for r in found:
         assert abs(r["sttc"] - tiling(trains[r["a"]].astype(float), trains[r["b"]].astype(float), 50, 0, 10_000)) < 1e-5

@@ -40,23 +40,33 @@ SELECT rec, t_start, t_end, CAST(n AS BIGINT) AS n, parts, lead(t_start) OVER (P
     gap=1800000000,
 )
 
+# Each spike with the last burst that begins before or with it: bursts and spikes in one order, no
+# range join. A burst's beginning comes before a spike of the same time.
+_IN_BURST = """
+WITH e AS (SELECT rec, burst, t_start, t_end, lead(burst) OVER (PARTITION BY rec ORDER BY t_start) AS following FROM {bursts}),
+m AS (SELECT rec, t_start AS tick, 0 AS kind, burst, t_start, t_end, following FROM e UNION ALL SELECT rec, tick, 1, NULL, NULL, NULL, NULL FROM {stream} WHERE tick >= 0),
+o AS (SELECT rec, tick, kind, max(t_start) OVER w AS t_start, max(t_end) OVER w AS t_end, max(burst) OVER w AS burst FROM m WINDOW w AS (PARTITION BY rec ORDER BY tick, kind ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT o.rec, o.tick, o.burst, o.t_start, o.t_end, e.following FROM o LEFT JOIN e ON o.rec = e.rec AND o.burst = e.burst WHERE kind = 1)"""
+
 burst_spike_counts = SqlOperator(
-    "Spikes strictly inside each burst, and in the gap before it; the tail after the last burst comes as burst 0 (J3, B9).",
-    """
-WITH e AS (SELECT rec, burst, t_start, t_end, lag(t_end) OVER (PARTITION BY rec ORDER BY t_start) AS before FROM {bursts}),
-i AS (SELECT e.rec, e.burst, count_if(s.tick > t_start AND s.tick < t_end) AS inside, count_if(s.tick < t_start AND s.tick > coalesce(before, -1)) AS gap_before FROM e JOIN {stream} s ON e.rec = s.rec AND s.tick > coalesce(before, -1) AND s.tick < t_end GROUP BY e.rec, e.burst),
-t AS (SELECT s.rec, 0 AS burst, 0 AS inside, count(*) AS gap_before FROM {stream} s JOIN (SELECT rec, max(t_end) AS last_end FROM {bursts} GROUP BY rec) l ON s.rec = l.rec AND s.tick > last_end GROUP BY s.rec)
-SELECT rec, CAST(burst AS INT) AS burst, CAST(inside AS BIGINT) AS inside, CAST(gap_before AS BIGINT) AS gap_before FROM (SELECT * FROM i UNION ALL SELECT * FROM t) x""",
+    "Spikes strictly inside each burst, and in the gap before it; the tail after the last burst comes as burst 0 (J3, B9). Bursts are numbered from 1 and don't overlap.",
+    _IN_BURST
+    + """,
+g AS (SELECT rec, CASE WHEN t_start IS NULL THEN (SELECT min(burst) FROM {bursts} f WHERE f.rec = x.rec) WHEN tick > t_end THEN coalesce(following, 0) ELSE burst END AS burst, CASE WHEN tick > t_start AND tick < t_end THEN 1 ELSE 0 END AS inside, CASE WHEN t_start IS NULL OR tick > t_end THEN 1 ELSE 0 END AS gap FROM x),
+c AS (SELECT rec, burst, sum(inside) AS inside, sum(gap) AS gap FROM g GROUP BY rec, burst)
+SELECT b.rec, CAST(b.burst AS INT) AS burst, CAST(coalesce(inside, 0) AS BIGINT) AS inside, CAST(coalesce(gap, 0) AS BIGINT) AS gap_before FROM {bursts} b LEFT JOIN c ON b.rec = c.rec AND b.burst = c.burst
+UNION ALL SELECT rec, 0, CAST(0 AS BIGINT), CAST(gap AS BIGINT) FROM c WHERE burst = 0""",
 )
 
 burst_features = SqlOperator(
     "Burst features of a recording: intervals, durations, rise and fall around the fullest bin, peak rate, rates inside and between; outliers (scaled MAD over 3) leave before medians; fewer than three bursts give zeros (B7, A22).",
-    """
-WITH u AS (SELECT rec, count(DISTINCT unit) AS units FROM {stream} GROUP BY rec),
-e AS (SELECT rec, burst, t_start, t_end, (lead(t_start) OVER w) - t_end AS ibi, lag(t_end) OVER w AS before, (t_end - t_start) / 1e6 AS dur FROM {bursts} WINDOW w AS (PARTITION BY rec ORDER BY t_start)),
-bins AS (SELECT e.rec, e.burst, @IDIV(s.tick - t_start, $bin) AS b, count(*) AS n FROM e JOIN {stream} s ON e.rec = s.rec AND s.tick BETWEEN t_start AND t_end GROUP BY 1, 2, 3),
+    _IN_BURST
+    + """,
+u AS (SELECT rec, count(DISTINCT unit) AS units FROM {stream} GROUP BY rec),
+y AS (SELECT rec, burst, t_start, t_end, (lead(t_start) OVER w) - t_end AS ibi, (t_end - t_start) / 1e6 AS dur FROM {bursts} WINDOW w AS (PARTITION BY rec ORDER BY t_start)),
+bins AS (SELECT rec, burst, @IDIV(tick - t_start, $bin) AS b, count(*) AS n FROM x WHERE tick BETWEEN t_start AND t_end GROUP BY 1, 2, 3),
 peak AS (SELECT rec, burst, max(n) AS top, min_by(b, (-n, b)) AS at_, sum(n) AS total FROM bins GROUP BY rec, burst),
-f AS (SELECT e.rec, e.burst, dur, ibi / 1e6 AS ibi, at_ * $bin / 1e6 AS rise, dur - at_ * $bin / 1e6 AS fall, top * 1e0 / units * (1e6 / $bin) AS peak_rate, total / nullif(dur, 0) / units AS intra FROM e JOIN peak ON e.rec = peak.rec AND e.burst = peak.burst JOIN u ON e.rec = u.rec),
+f AS (SELECT y.rec, y.burst, dur, ibi / 1e6 AS ibi, at_ * $bin / 1e6 AS rise, dur - at_ * $bin / 1e6 AS fall, top * 1e0 / units * (1e6 / $bin) AS peak_rate, total / nullif(dur, 0) / units AS intra FROM y JOIN peak ON y.rec = peak.rec AND y.burst = peak.burst JOIN u ON y.rec = u.rec),
 l AS (SELECT rec, 'duration' AS name, dur AS v FROM f UNION ALL SELECT rec, 'interval', ibi FROM f WHERE ibi IS NOT NULL UNION ALL SELECT rec, 'rise', rise FROM f UNION ALL SELECT rec, 'fall', fall FROM f UNION ALL SELECT rec, 'peak_rate', peak_rate FROM f UNION ALL SELECT rec, 'intra_rate', intra FROM f WHERE intra IS NOT NULL),
 med AS (SELECT rec, name, median(v) AS m FROM l GROUP BY rec, name),
 mad AS (SELECT l.rec, l.name, 3 * 1.4826 * median(abs(v - m)) AS s FROM l JOIN med ON l.rec = med.rec AND l.name = med.name GROUP BY l.rec, l.name),
@@ -70,10 +80,11 @@ n_grid = SqlOperator("Grid of burst sizes N: from max(4, units / 30 up) to units
     "WITH u AS (SELECT rec, count(DISTINCT unit) AS units FROM {stream} GROUP BY rec), g AS (SELECT rec, greatest(4, CAST(ceil(units / 30.0) AS INT)) AS lo, CAST(ceil(units / 2e0) AS INT) AS hi FROM u), s AS (SELECT rec, lo, hi, greatest(1, CAST(ceil((hi - lo + 1) / ($most * 1e0)) AS INT)) AS step, @SERIES(0, $most - 1) AS k FROM g) SELECT rec, CAST(lo + k * step AS INT) AS n FROM s WHERE lo + k * step <= hi", most=20)
 
 dunn_threshold = SqlOperator(
-    "Dunn index of the two groups of N-spike spans that a threshold makes, in closed form for one dimension: least gap between over widest group (B3, X13).",
+    "Dunn index of the two groups of N-spike spans that a threshold makes, in closed form for one dimension: least gap between over widest group; spans of each candidate's own N (B3, X13).",
     """
-WITH s AS (SELECT rec, c.n, c.threshold, lead(tick, 3) OVER (PARTITION BY rec, c.n, c.threshold ORDER BY tick, unit) - tick AS span FROM {stream} CROSS JOIN {candidates} c),
-g AS (SELECT rec, n, threshold, max(CASE WHEN span <= threshold THEN span END) AS low_max, min(CASE WHEN span <= threshold THEN span END) AS low_min, min(CASE WHEN span > threshold THEN span END) AS high_min, max(span) AS high_max FROM s WHERE span IS NOT NULL GROUP BY 1, 2, 3)
+WITH o AS (SELECT rec, tick, row_number() OVER (PARTITION BY rec ORDER BY tick, unit) AS i FROM {stream}), k AS (SELECT DISTINCT n FROM {candidates}),
+d AS (SELECT rec, n, tick, i + n - 1 AS i FROM o CROSS JOIN k), s AS (SELECT d.rec, d.n, o.tick - d.tick AS span FROM d JOIN o ON d.rec = o.rec AND d.i = o.i),
+g AS (SELECT s.rec, s.n, threshold, max(CASE WHEN span <= threshold THEN span END) AS low_max, min(CASE WHEN span <= threshold THEN span END) AS low_min, min(CASE WHEN span > threshold THEN span END) AS high_min, max(span) AS high_max FROM s JOIN {candidates} c ON s.n = c.n GROUP BY 1, 2, 3)
 SELECT rec, n, threshold, round(coalesce((high_min - low_max) * 1e0 / nullif(greatest(low_max - low_min, high_max - high_min), 0), 0), 9) AS dunn FROM g""",
 )
 

@@ -69,11 +69,12 @@ sparse_pivot = SqlOperator("Culture by grid value with holes (A13).", "SELECT cu
 batch_zscore = SqlOperator(
     "z-scores within batches fitted on training rows, then over all training rows (N1); spread 0 gives null.",
     """
-WITH a AS (SELECT id, batch, train, (x - avg(CASE WHEN train THEN x END) OVER (PARTITION BY batch)) / nullif(stddev_samp(CASE WHEN train THEN x END) OVER (PARTITION BY batch), 0) AS z FROM {rows})
-SELECT id, round((z - avg(CASE WHEN train THEN z END) OVER ()) / nullif(stddev_samp(CASE WHEN train THEN z END) OVER (), 0), 5) AS z FROM a""",
+WITH b AS (SELECT batch, avg(x) AS m, nullif(stddev_samp(x), 0) AS s FROM {rows} WHERE train GROUP BY batch), a AS (SELECT id, train, (x - m) / s AS z FROM {rows} r LEFT JOIN b ON r.batch = b.batch),
+t AS (SELECT avg(z) AS m, nullif(stddev_samp(z), 0) AS s FROM a WHERE train)
+SELECT id, round((z - m) / s, 5) AS z FROM a CROSS JOIN t""",
 )
-input_matrix = SqlOperator("Input matrix: missing to 0, z-score, divided by the largest absolute value of the training rows (N2).",
-    "WITH s AS (SELECT avg(coalesce(x, 0)) AS m, stddev_samp(coalesce(x, 0)) AS s FROM {rows}), z AS (SELECT id, train, (coalesce(x, 0) - m) / s AS z FROM {rows} CROSS JOIN s), t AS (SELECT max(CASE WHEN train THEN abs(z) END) AS top FROM z) SELECT id, round(z / top, 6) AS v FROM z CROSS JOIN t")
+input_matrix = SqlOperator("Input matrix: missing to 0, z-score by mean and spread of the training rows, divided by their largest absolute value (N2).",
+    "WITH s AS (SELECT avg(coalesce(x, 0)) AS m, stddev_samp(coalesce(x, 0)) AS s FROM {rows} WHERE train), z AS (SELECT id, train, (coalesce(x, 0) - m) / s AS z FROM {rows} CROSS JOIN s), t AS (SELECT max(CASE WHEN train THEN abs(z) END) AS top FROM z) SELECT id, round(z / top, 6) AS v FROM z CROSS JOIN t")
 baseline_norm = SqlOperator("Each value divided by the culture's first one; the first goes (N3).",
     "SELECT culture, value, round(coalesce(x / nullif(first_x, 0), 0), 6) AS ratio FROM (SELECT culture, value, x, first_value(x) OVER (PARTITION BY culture ORDER BY value ROWS UNBOUNDED PRECEDING) AS first_x, row_number() OVER (PARTITION BY culture ORDER BY value) AS r FROM {series}) y WHERE r > 1")
 scaled_norm = SqlOperator("Min-max scaling over time within a culture (N4, W16).",
@@ -92,10 +93,10 @@ cluster_proportions = SqlOperator("Share of clusters within each metadata group
 cluster_heatmap = SqlOperator("Mean z-score per cluster and feature (A17).",
     "SELECT cluster, feature, round(avg(z), 5) AS z FROM (SELECT cluster, feature, (x - avg(x) OVER (PARTITION BY feature)) / nullif(stddev_samp(x) OVER (PARTITION BY feature), 0) AS z FROM {values}) y GROUP BY cluster, feature")
 cluster_quantiles = SqlOperator("Quartiles and 5-95 % limits per cluster and feature by the Hazen rule (A18).",
-    "WITH r AS (SELECT cluster, feature, x, row_number() OVER (PARTITION BY cluster, feature ORDER BY x) AS k, count(*) OVER (PARTITION BY cluster, feature) AS n FROM {values}), q AS (SELECT 0.05 AS q UNION ALL SELECT 0.25 UNION ALL SELECT 0.5 UNION ALL SELECT 0.75 UNION ALL SELECT 0.95), p AS (SELECT r.cluster, r.feature, CAST(q.q AS DOUBLE) AS q, r.x, r.k, least(greatest(n * CAST(q.q AS DOUBLE) + 0.5, 1), n) AS h FROM r CROSS JOIN q) SELECT cluster, feature, q, round(sum(CASE WHEN k = floor(h) THEN x * (1 - (h - floor(h))) WHEN k = floor(h) + 1 THEN x * (h - floor(h)) ELSE 0 END), 5) AS v FROM p GROUP BY cluster, feature, q")
+    "WITH r AS (SELECT cluster, feature, x, row_number() OVER (PARTITION BY cluster, feature ORDER BY x) AS k, count(*) OVER (PARTITION BY cluster, feature) AS n FROM {values}), q AS (SELECT 0.05 AS q UNION ALL SELECT 0.25 UNION ALL SELECT 0.5 UNION ALL SELECT 0.75 UNION ALL SELECT 0.95), p AS (SELECT r.cluster, r.feature, CAST(q.q AS DOUBLE) AS q, r.x, r.k, least(greatest(n * CAST(q.q AS DOUBLE) + 0.5, 1), n) AS h FROM r CROSS JOIN q), near AS (SELECT * FROM p WHERE k = floor(h) OR k = floor(h) + 1) SELECT cluster, feature, q, round(sum(CASE WHEN k = floor(h) THEN x * (1 - (h - floor(h))) WHEN k = floor(h) + 1 THEN x * (h - floor(h)) ELSE 0 END), 5) AS v FROM near GROUP BY cluster, feature, q")
 cluster_waveforms = SqlOperator("Median waveform and size of each cluster (A19).", "SELECT cluster, i, count(*) AS n, round(median(v), 5) AS v FROM {waveforms} GROUP BY cluster, i")
 label_frequency = SqlOperator("Rows whose label is at least as frequent as ``share`` of the mean frequency (F18).",
-    "SELECT r.label, count(*) AS n FROM {rows} r SEMI JOIN (SELECT label FROM (SELECT label, count(*) AS n, avg(count(*)) OVER () AS m FROM {rows} GROUP BY label) x WHERE n >= $share * m) k ON r.label = k.label GROUP BY r.label", share=0.95)
+    "SELECT r.label, count(*) AS n FROM {rows} r SEMI JOIN (SELECT label FROM {rows} GROUP BY label HAVING count(*) >= $share * (SELECT count(*) * 1e0 / count(DISTINCT label) FROM {rows} WHERE label IS NOT NULL)) k ON r.label = k.label GROUP BY r.label", share=0.95)
 removed_clusters = SqlOperator("Units of a cluster removed from every recording of a culture in which any member has them (F15, L6).",
     "SELECT u.culture, u.unit, u.cluster FROM {units} u ANTI JOIN (SELECT DISTINCT culture, unit FROM {units} WHERE cluster = $cluster) g ON u.culture = g.culture AND u.unit = g.unit", cluster=1)
 lookup_join = SqlOperator("First row of a lookup whose comma list names a part of the id (J1, S8).",

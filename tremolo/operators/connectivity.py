@@ -30,8 +30,8 @@ WHERE CASE WHEN o.i < s.i THEN s.tick - o.tick <= $bin * ($half + 0.5) ELSE o.ti
     bin=60000000, half=50, width=3030000000,
 )
 
-ccg_grid = SqlOperator("Correlograms of chosen units on the full grid of lags, zeros included; rate divides by the spikes of a and the bin (K1 'rate').",
-    "WITH u AS (SELECT rec, unit, count(*) AS spikes FROM {spikes} WHERE unit < $units GROUP BY rec, unit), g AS (SELECT a.rec, a.unit AS a, b.unit AS b, a.spikes, @SERIES(-$half, $half) AS lag_bin FROM u a JOIN u b ON a.rec = b.rec) SELECT g.rec, g.a, g.b, CAST(g.lag_bin AS INT) AS lag_bin, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / (spikes * $bin / 1e6), 9) AS rate FROM g LEFT JOIN {ccg} c ON g.rec = c.rec AND g.a = c.a AND g.b = c.b AND g.lag_bin = c.lag_bin", units=3, half=50, bin=60000000)
+ccg_grid = SqlOperator("Correlograms of all unit pairs on the full grid of lags, zeros included; rate divides by the spikes of a and the bin (K1 'rate').",
+    "WITH u AS (SELECT rec, unit, count(*) AS spikes FROM {spikes} GROUP BY rec, unit), g AS (SELECT a.rec, a.unit AS a, b.unit AS b, a.spikes, @SERIES(-$half, $half) AS lag_bin FROM u a JOIN u b ON a.rec = b.rec) SELECT g.rec, g.a, g.b, CAST(g.lag_bin AS INT) AS lag_bin, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / (spikes * $bin / 1e6), 9) AS rate FROM g LEFT JOIN {ccg} c ON g.rec = c.rec AND g.a = c.a AND g.b = c.b AND g.lag_bin = c.lag_bin", half=50, bin=60000000)
 
 acg_counts = SqlOperator("Autocorrelograms: the diagonal of the correlograms (P7, P8), with the share of the fullest bin.",
     "SELECT rec, a AS unit, lag_bin, n, round(n * 1e0 / max(n) OVER (PARTITION BY rec, a), 6) AS norm FROM {ccg} WHERE a = b")
@@ -40,16 +40,17 @@ ccg_sum = SqlOperator("Sum of correlograms over the recordings of a culture (A21
     "SELECT a, b, lag_bin, CAST(sum(n) AS BIGINT) AS n FROM {ccg} GROUP BY a, b, lag_bin")
 
 tiling_coefficient = SqlOperator(
-    "Spike-time tiling coefficient of unit pairs: shares of time covered within dt of a spike, shares of spikes with a partner within dt (K5, K6, J4, J5).",
+    "Spike-time tiling coefficient of the unit pairs of each recording: shares of time covered within dt of a spike, shares of spikes with a partner within dt (K5, K6, J4, J5). A recording lasts to the end of the second of its last spike, or for ``stop`` ticks where that is over 0.",
     """
-WITH s AS (SELECT unit, tick, @IDIV(tick, $dt) AS k FROM {spikes} WHERE unit < $units),
-g AS (SELECT unit, tick, tick - lag(tick) OVER (PARTITION BY unit ORDER BY tick) AS isi FROM s),
-t AS (SELECT unit, count(*) AS n, min(tick) AS t1, max(tick) AS tn, sum(greatest(0, 2 * CAST($dt AS BIGINT) - coalesce(isi, 2 * CAST($dt AS BIGINT)))) AS overlap FROM g GROUP BY unit),
-c AS (SELECT unit, n, (2e0 * n * $dt - overlap - greatest(0, $dt - t1) - CASE WHEN n = 1 AND t1 < $dt THEN 0 ELSE greatest(0, $dt - ($stop - tn)) END) / $stop AS cover FROM t),
-p AS (SELECT x.unit AS a, y.unit AS b, count(DISTINCT x.tick) AS hits FROM s x JOIN (SELECT unit, tick, @SERIES(k - 1, k + 1) AS k FROM s) y ON x.k = y.k AND x.unit <> y.unit AND abs(x.tick - y.tick) <= $dt GROUP BY 1, 2),
-q AS (SELECT a.unit AS a, b.unit AS b, a.cover AS ta, b.cover AS tb, coalesce(pa.hits, 0) * 1e0 / a.n AS pa, coalesce(pb.hits, 0) * 1e0 / b.n AS pb FROM c a JOIN c b ON a.unit < b.unit LEFT JOIN p pa ON pa.a = a.unit AND pa.b = b.unit LEFT JOIN p pb ON pb.a = b.unit AND pb.b = a.unit)
-SELECT a, b, round(0.5 * ((pa - tb) / nullif(1 - tb * pa, 0) + (pb - ta) / nullif(1 - ta * pb, 0)), 6) AS sttc FROM q""",
-    dt=1800000000, units=20, stop=2592000000000,
+WITH s AS (SELECT rec, unit, tick, @IDIV(tick, $dt) AS k FROM {spikes}),
+l AS (SELECT rec, CASE WHEN $stop > 0 THEN $stop ELSE ceil(max(tick) / 1e6) * 1e6 END AS stop FROM s GROUP BY rec),
+g AS (SELECT rec, unit, tick, tick - lag(tick) OVER (PARTITION BY rec, unit ORDER BY tick) AS isi FROM s),
+t AS (SELECT rec, unit, count(*) AS n, min(tick) AS t1, max(tick) AS tn, sum(greatest(0, 2 * CAST($dt AS BIGINT) - coalesce(isi, 2 * CAST($dt AS BIGINT)))) AS overlap FROM g GROUP BY rec, unit),
+c AS (SELECT t.rec, unit, n, (2e0 * n * $dt - overlap - greatest(0, $dt - t1) - CASE WHEN n = 1 AND t1 < $dt THEN 0 ELSE greatest(0, $dt - (stop - tn)) END) / stop AS cover FROM t JOIN l ON t.rec = l.rec),
+p AS (SELECT x.rec, x.unit AS a, y.unit AS b, count(DISTINCT x.tick) AS hits FROM s x JOIN (SELECT rec, unit, tick, @SERIES(k - 1, k + 1) AS k FROM s) y ON x.rec = y.rec AND x.k = y.k AND x.unit <> y.unit AND abs(x.tick - y.tick) <= $dt GROUP BY 1, 2, 3),
+q AS (SELECT a.rec, a.unit AS a, b.unit AS b, a.cover AS ta, b.cover AS tb, coalesce(pa.hits, 0) * 1e0 / a.n AS pa, coalesce(pb.hits, 0) * 1e0 / b.n AS pb FROM c a JOIN c b ON a.rec = b.rec AND a.unit < b.unit LEFT JOIN p pa ON pa.rec = a.rec AND pa.a = a.unit AND pa.b = b.unit LEFT JOIN p pb ON pb.rec = a.rec AND pb.a = b.unit AND pb.b = a.unit)
+SELECT rec, a, b, round(0.5 * ((pa - tb) / nullif(1 - tb * pa, 0) + (pb - ta) / nullif(1 - ta * pb, 0)), 6) AS sttc FROM q""",
+    dt=1800000000, stop=0,
 )
 
 surrogate_threshold = SqlOperator("Per pair the percentile of surrogate coefficients by the Hazen rule (position n q - 1/2), and whether the coefficient is over it (A26, K7).",

@@ -19,9 +19,14 @@ from ..functions import graph_kernels
 from .base import SqlOperator
 from .cluster import cut, ship
 
-_TRI = "SELECT a.src AS u, count(*) AS t, sum(@CBRT(a.w * b.w * c.w)) AS tw FROM {edges} a JOIN {edges} b ON a.dst = b.src JOIN {edges} c ON b.dst = c.dst AND c.src = a.src WHERE a.src <> a.dst AND b.src <> b.dst AND a.src <> b.dst GROUP BY a.src"
 _DEG = "SELECT src AS u, count(*) AS k, sum(w) AS s FROM {edges} WHERE src <> dst GROUP BY src"
 
+# Every edge from the end of lower degree to that of higher degree: a hub starts few wedges, and each
+# triangle is met once. Its corners each get two, as the walk goes round either way.
+_LOW = f"SELECT e.src, e.dst, e.w FROM {{edges}} e JOIN ({_DEG}) x ON e.src = x.u JOIN ({_DEG}) y ON e.dst = y.u WHERE e.src <> e.dst AND (x.k < y.k OR (x.k = y.k AND e.src < e.dst))"
+_ONCE = f"SELECT a.src AS p, a.dst AS q, b.dst AS r, @CBRT(a.w * b.w * c.w) AS tw FROM ({_LOW}) a JOIN ({_LOW}) b ON a.src = b.src JOIN ({_LOW}) c ON c.src = a.dst AND c.dst = b.dst"
+_TRI = f"SELECT u, count(*) * 2 AS t, sum(tw) * 2 AS tw FROM (SELECT p AS u, tw FROM ({_ONCE}) i UNION ALL SELECT q, tw FROM ({_ONCE}) j UNION ALL SELECT r, tw FROM ({_ONCE}) k) z GROUP BY u"
+
 degrees = SqlOperator("Degree and strength of every node (BG24, BG120).",
     f"SELECT id, coalesce(k, 0) AS degree, round(coalesce(s, 0), 6) AS strength FROM {{nodes}} n LEFT JOIN ({_DEG}) d ON n.id = d.u")
 degrees_dir = SqlOperator("In-, out- and total degree and strength of a directed graph (BG23, BG119).",
@@ -61,15 +66,9 @@ m AS (SELECT mode, avg(a * b) AS ab, avg((a + b) / 2) AS h, avg((a * a + b * b)
 SELECT mode, round((ab - h * h) / nullif(q - h * h, 0), 6) AS r FROM m""",
 )
 local_assortativity = SqlOperator("Mean difference of strength to the neighbours, scaled by its total (BG61, positive weights).",
-    f"WITH d AS ({_DEG}), m AS (SELECT e.src AS u, avg(abs(x.s - y.s)) AS gap FROM {{edges}} e JOIN d x ON e.src = x.u JOIN d y ON e.dst = y.u WHERE src <> dst GROUP BY e.src) SELECT u AS id, round(gap / sum(gap) OVER (), 9) AS share FROM m")
-_WALK = """
-WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst),
-reach(a, b, d) AS (SELECT id AS a, id AS b, 0 AS d FROM {nodes} WHERE id IN (SELECT id FROM {sources})
-  UNION ALL SELECT DISTINCT reach.a, e.dst AS b, reach.d + 1 AS d FROM reach JOIN e ON reach.b = e.src WHERE reach.d < $hops),
-dist AS (SELECT a, b, min(d) AS d FROM reach GROUP BY a, b)"""
-distance_bin = SqlOperator("Hop distances from chosen sources, up to ``hops`` (BG10, BG11, BG28, BG104).", _WALK + " SELECT a, b, CAST(d AS INT) AS d FROM dist", hops=3)
-path_statistics = SqlOperator("Mean distance, efficiency, eccentricity of sources, over pairs reached within ``hops`` (BG12, BG116, G4).",
-    _WALK + " SELECT a, round(avg(d * 1e0), 6) AS mean_distance, round(avg(1e0 / d), 6) AS mean_inverse, CAST(max(d) AS INT) AS eccentricity, count(*) AS reached FROM dist WHERE d > 0 GROUP BY a", hops=3)
+    f"WITH d AS ({_DEG}), m AS (SELECT e.src AS u, avg(abs(x.s - y.s)) AS gap FROM {{edges}} e JOIN d x ON e.src = x.u JOIN d y ON e.dst = y.u WHERE src <> dst GROUP BY e.src) SELECT u AS id, round(gap / (SELECT sum(gap) FROM m), 9) AS share FROM m")
+path_statistics = SqlOperator("Mean distance, efficiency, eccentricity of each source, over the pairs reached (BG12, BG116, G4).",
+    "SELECT a, round(avg(d * 1e0), 6) AS mean_distance, round(avg(1e0 / d), 6) AS mean_inverse, CAST(max(d) AS INT) AS eccentricity, count(*) AS reached FROM {distances} WHERE d > 0 GROUP BY a")
 edge_overlap = SqlOperator(
     "Neighbourhood overlap of linked nodes: shared neighbours over all neighbours, the two left out (BG35, BG34).",
     f"""
@@ -132,7 +131,7 @@ threshold_absolute = SqlOperator("Edges off the diagonal of at least ``thr`` (BG
 threshold_proportional = SqlOperator("The strongest share p of all possible undirected edges (BG124, F19).",
     "SELECT src, dst, w FROM (SELECT src, dst, w, row_number() OVER (ORDER BY w DESC, src, dst) AS r FROM {edges} WHERE src < dst) x WHERE r <= round((SELECT count(*) * (count(*) - 1) FROM {nodes}) * $p / 2)", p=0.02)
 weight_conversion = SqlOperator("Weights as binary, divided by the largest, and as lengths (BG129).",
-    "SELECT src, dst, 1 AS binary_w, round(w * 1e0 / max(abs(w)) OVER (), 6) AS normal_w, round(1e0 / w, 6) AS length FROM {edges} WHERE w <> 0")
+    "SELECT src, dst, 1 AS binary_w, round(w * 1e0 / (SELECT max(abs(w)) FROM {edges}), 6) AS normal_w, round(1e0 / w, 6) AS length FROM {edges} WHERE w <> 0")
 triad_census = SqlOperator(
     "Connected triples of a directed graph by class: edges among the three and mutual pairs, closed or open (BG78, BG80 as counts by pattern).",
     """
@@ -174,13 +173,13 @@ def dense(edges: DataFrame, nodes: DataFrame, kernel: str, schema: str, **params
     return edges.groupBy("g").cogroup(nodes.groupBy("g")).applyInPandas(run, schema)
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components and their sizes by minimum labels with pointer jumping (BG48): every round is two
     joins, written to the checkpoint folder; ends when no label changes."""
     labels = nodes.select("id", F.col("id").alias("label"))
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("label").alias("near"))
         hooked = labels.join(near, F.col("id") == F.col("src"), "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = hooked.select(F.col("id").alias("j_id"), F.col("label").alias("j_label"))
@@ -192,6 +191,23 @@ def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -
     return labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").select("id", F.col("label").alias("component"), "size")
 
 
+def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Hop distances (a, b, d) from every source to the nodes it reaches, itself included (BG10, BG11,
+    BG28, BG104): breadth first from all sources at once. A round joins the pairs found last with
+    the edges and leaves out pairs known before; it ends when none is new."""
+    arcs = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    front = cut(sources.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct())
+    known = front.withColumn("d", F.lit(0))
+    d = 0
+    while True:
+        d += 1
+        met = front.join(arcs, F.col("b") == F.col("src")).select("a", F.col("dst").alias("b")).distinct()
+        front = cut(met.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        if not front.take(1):
+            return known
+        known = cut(known.unionByName(front.withColumn("d", F.lit(d))))
+
+
 def core_numbers(edges: DataFrame) -> DataFrame:
     """Largest k for which a node is in the k-core (BG52-BG55) of ``edges`` in both directions.
 

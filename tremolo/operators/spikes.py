@@ -15,28 +15,29 @@ isi = SqlOperator("Inter-spike intervals in seconds: first differences of the so
     f"SELECT rec, unit, tick, round(isi, 6) AS isi FROM ({_ISI}) x WHERE isi IS NOT NULL")
 
 activity_features = SqlOperator(
-    "Activity features of each unit: rate, mean, variance and variation of intervals, lag-1 autocorrelation of intervals; zeros for units of two spikes or fewer (P3, A1, W10).",
+    "Activity features of each unit: rate, mean, variance and variation of intervals, lag-1 autocorrelation of intervals; a recording lasts to the end of the second of its last spike; zeros for units of two spikes or fewer (P3, A1, W10).",
     f"""
 WITH i AS ({_ISI}),
-m AS (SELECT rec, unit, isi, avg(isi) OVER (PARTITION BY rec, unit) AS mean_isi, lead(isi) OVER (PARTITION BY rec, unit ORDER BY tick) AS next_isi FROM i),
+m AS (SELECT rec, unit, tick, isi, avg(isi) OVER (PARTITION BY rec, unit) AS mean_isi, lead(isi) OVER (PARTITION BY rec, unit ORDER BY tick) AS next_isi FROM i),
 f AS (SELECT rec, unit, count(*) AS n, avg(isi) AS mean_isi, var_samp(isi) AS var_isi, stddev_samp(isi) AS sd,
-    sum((isi - mean_isi) * (next_isi - mean_isi)) / nullif(sum((isi - mean_isi) * (isi - mean_isi)), 0) AS pac FROM m GROUP BY rec, unit)
-SELECT rec, unit, n AS n_spikes, round(n / $duration, 9) AS firing_rate, round(CASE WHEN n > 2 THEN mean_isi ELSE 0 END, 4) AS mean_isi, round(CASE WHEN n > 2 THEN var_isi ELSE 0 END / 1e6, 3) AS var_isi_m,
-  round(CASE WHEN n > 2 THEN sd / mean_isi ELSE 0 END, 6) AS cv_isi, round(CASE WHEN n > 2 THEN pac ELSE 0 END, 6) AS partial_autocorrelation FROM f""",
-    duration=2592000.0,
+    sum((isi - mean_isi) * (next_isi - mean_isi)) / nullif(sum((isi - mean_isi) * (isi - mean_isi)), 0) AS pac, max(tick) AS last_tick FROM m GROUP BY rec, unit),
+l AS (SELECT rec AS l_rec, ceil(max(last_tick) / 1e6) AS duration FROM f GROUP BY rec)
+SELECT rec, unit, n AS n_spikes, round(n / duration, 9) AS firing_rate, round(CASE WHEN n > 2 THEN mean_isi ELSE 0 END, 4) AS mean_isi, round(CASE WHEN n > 2 THEN var_isi ELSE 0 END / 1e6, 3) AS var_isi_m,
+  round(CASE WHEN n > 2 THEN sd / mean_isi ELSE 0 END, 6) AS cv_isi, round(CASE WHEN n > 2 THEN pac ELSE 0 END, 6) AS partial_autocorrelation FROM f JOIN l ON f.rec = l.l_rec""",
 )
 
 unit_activity_features = SqlOperator(
     "Activity features with quality flags: rate outside its bounds (F5), share of intervals under the refractory window too high (F6), and whether both pass (F9).",
     f"""
 WITH i AS ({_ISI}),
-m AS (SELECT rec, unit, isi, avg(isi) OVER (PARTITION BY rec, unit) AS mean_isi, lead(isi) OVER (PARTITION BY rec, unit ORDER BY tick) AS next_isi FROM i),
+m AS (SELECT rec, unit, tick, isi, avg(isi) OVER (PARTITION BY rec, unit) AS mean_isi, lead(isi) OVER (PARTITION BY rec, unit ORDER BY tick) AS next_isi FROM i),
 f AS (SELECT rec, unit, count(*) AS n, avg(isi) AS mean_isi, stddev_samp(isi) AS sd, avg(CASE WHEN isi < $refractory THEN 1e0 WHEN isi IS NOT NULL THEN 0e0 END) AS violations,
-    sum((isi - mean_isi) * (next_isi - mean_isi)) / nullif(sum((isi - mean_isi) * (isi - mean_isi)), 0) AS pac FROM m GROUP BY rec, unit)
-SELECT rec, unit, n AS n_spikes, round(n / $duration, 9) AS firing_rate, round(CASE WHEN n > 2 THEN mean_isi ELSE 0 END, 4) AS mean_isi, round(CASE WHEN n > 2 THEN sd / mean_isi ELSE 0 END, 6) AS cv_isi, round(CASE WHEN n > 2 THEN pac ELSE 0 END, 6) AS partial_autocorrelation,
-  (n / $duration < $low OR n / $duration > $high) AS bad_rate, coalesce(violations > $max_violations, FALSE) AS bad_refractory,
-  NOT (n / $duration < $low OR n / $duration > $high OR coalesce(violations > $max_violations, FALSE)) AS good FROM f""",
-    duration=2592000.0, refractory=600, low=0.000002, high=0.00001, max_violations=0.02,
+    sum((isi - mean_isi) * (next_isi - mean_isi)) / nullif(sum((isi - mean_isi) * (isi - mean_isi)), 0) AS pac, max(tick) AS last_tick FROM m GROUP BY rec, unit),
+l AS (SELECT rec AS l_rec, ceil(max(last_tick) / 1e6) AS duration FROM f GROUP BY rec)
+SELECT rec, unit, n AS n_spikes, round(n / duration, 9) AS firing_rate, round(CASE WHEN n > 2 THEN mean_isi ELSE 0 END, 4) AS mean_isi, round(CASE WHEN n > 2 THEN sd / mean_isi ELSE 0 END, 6) AS cv_isi, round(CASE WHEN n > 2 THEN pac ELSE 0 END, 6) AS partial_autocorrelation,
+  (n / duration < $low OR n / duration > $high) AS bad_rate, coalesce(violations > $max_violations, FALSE) AS bad_refractory,
+  NOT (n / duration < $low OR n / duration > $high OR coalesce(violations > $max_violations, FALSE)) AS good FROM f JOIN l ON f.rec = l.l_rec""",
+    refractory=600, low=0.000002, high=0.00001, max_violations=0.02,
 )
 
 qc_recordings = SqlOperator("Recordings with at least ``n_units`` good units stay (F9); the others go with all their units.",

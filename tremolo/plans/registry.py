@@ -39,12 +39,9 @@ _WEIGHTED = "SELECT i, j, w, 1.5 - w AS d, i % 5 - 1 AS li, j % 5 - 1 AS lj FROM
 _PARTITIONS = "SELECT 1 AS part, id, @IDIV(id, 10) AS community, 0.5 AS weight FROM (" + _NODES + ") a UNION ALL SELECT 2, id, @IDIV(id, 15), 0.3 FROM (" + _NODES + ") b"
 _WINDOWS = "SELECT 'first' AS win, 0 AS t0, 172800000000 AS t1 UNION ALL SELECT 'second', 345600000000, 518400000000 UNION ALL SELECT 'overlap', 86400000000, 432000000000"
 _BOXES = "SELECT 1 AS box, -0.1 AS x0, -0.1 AS y0, 0.1 AS x1, 0.1 AS y1 UNION ALL SELECT 2, 0.0, 0.0, 0.3, 0.3"
-_CANDIDATES = "SELECT 4 AS n, 60000000 AS threshold UNION ALL SELECT 4, 600000000 UNION ALL SELECT 4, 3600000000"
+_CANDIDATES = "SELECT 4 AS n, 60000000 AS threshold UNION ALL SELECT 4, 600000000 UNION ALL SELECT 4, 3600000000 UNION ALL SELECT 5, 600000000 UNION ALL SELECT 8, 600000000 UNION ALL SELECT 8, 3600000000"
 _LOOKUP = "SELECT 1 AS ord, '1,27' AS chips, 'first' AS info UNION ALL SELECT 2, '3,5', 'second' UNION ALL SELECT 3, '0', 'third'"
 
-# The queries named ``_all`` run over whole tables; those of the same names without it are samples.
-_EVERY_UNIT = {"units": 1 << 62}
-
 
 class Query:
     """An operator bound to its inputs: callable with (session, folder)."""
@@ -123,12 +120,9 @@ _SQL: dict[str, Query] = {
     "dunn_threshold": _dunn,
     "best_isi_n": Query(bursts.best_isi_n, dunn=_dunn),
     "ccg_counts": _ccg,
-    "ccg_grid": Query(connectivity.ccg_grid, ccg=_ccg, spikes=_SPIKES),
     "acg_counts": Query(connectivity.acg_counts, ccg=_ccg),
     "ccg_sum": Query(connectivity.ccg_sum, ccg=_ccg),
     "tiling_coefficient": _sttc,
-    "ccg_grid_all": Query(connectivity.ccg_grid, _EVERY_UNIT, ccg=_ccg, spikes=_SPIKES),
-    "tiling_coefficient_all": Query(connectivity.tiling_coefficient, _EVERY_UNIT, spikes=_SPIKES),
     "confusion_matrix": Query(stats.confusion_matrix, pred=_PRED),
     "class_metrics": Query(stats.class_metrics, pred=_PRED),
     "confusion_metrics": Query(stats.confusion_metrics, pred=_PRED),
@@ -179,10 +173,6 @@ _SQL: dict[str, Query] = {
     "assortativity_dir": Query(graph.assortativity_dir, edges=_ARCS),
     "flow_coefficient": Query(graph.flow_coefficient, edges=_ARCS),
     "triad_census": Query(graph.triad_census, edges=_ARCS),
-    "distance_bin": Query(graph.distance_bin, edges=_EDGES, nodes=_NODES, sources="SELECT DISTINCT user_id AS id FROM {events} WHERE user_id < 5"),
-    "path_statistics": Query(graph.path_statistics, edges=_EDGES, nodes=_NODES, sources="SELECT DISTINCT user_id AS id FROM {events} WHERE user_id < 5"),
-    "distance_bin_all": Query(graph.distance_bin, edges=_EDGES, nodes=_NODES, sources=_NODES),
-    "path_statistics_all": Query(graph.path_statistics, edges=_EDGES, nodes=_NODES, sources=_NODES),
     "agreement": Query(graph.agreement, partitions=_PARTITIONS),
     "partition_distance": Query(graph.partition_distance, labels=_LABELS),
     "spatial_edges": Query(graph.spatial_edges, edges=_EDGES, places=_PLACES),
@@ -210,6 +200,19 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(read(spark, sf_dir, _EDGES), read(spark, sf_dir, _NODES))
 
 
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hop_distances(read(spark, sf_dir, _EDGES), read(spark, sf_dir, _NODES))
+
+
+def _path_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.path_statistics(distances=_distances(spark, sf_dir))
+
+
+def _ccg_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without SQL: 101 rows for each ordered pair of units of a recording."""
+    return connectivity.ccg_grid(ccg=_ccg(spark, sf_dir), spikes=read(spark, sf_dir, _SPIKES))
+
+
 def _cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.core_numbers(read(spark, sf_dir, _EDGES))
 
@@ -266,9 +269,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_bursts": _detected_bursts,
     "ccg_links": _links,
     "series_features": _series,
+    "ccg_grid": _ccg_grid,
+    "distance_bin": _distances,
+    "path_statistics": _path_statistics,
     "connected_components": _components,
     "core_numbers": _cores,
     "differential_covariance": _covariance,
     **{f"graph_{name}": _kernel(name, schema) for name, schema in _KERNELS.items()},
 }
-ORACLE_SQL: dict[str, str] = {name: q.sql for name, q in _SQL.items()}
+# Breadth first in one recursion: every pair once for each distance at which a walk meets it, the
+# least of them counts. 12 hops are over the diameter of the graphs of the given tables.
+_HOPS = (
+    "WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (" + re.sub(r"\{(\w+)\}", r"\1", expand(_EDGES, 1)) + ") z), "
+    "r(a, b, d) AS (SELECT DISTINCT user_id, user_id, 0 FROM events UNION SELECT r.a, e.dst, r.d + 1 FROM r JOIN e ON r.b = e.src WHERE r.d < 12), "
+    "h AS (SELECT a, b, CAST(min(d) AS INT) AS d FROM r GROUP BY a, b) "
+)
+ORACLE_SQL: dict[str, str] = {
+    **{name: q.sql for name, q in _SQL.items()},
+    "distance_bin": _HOPS + "SELECT a, b, d FROM h",
+    "path_statistics": _HOPS + "SELECT a, round(avg(d * 1e0), 6) AS mean_distance, round(avg(1e0 / d), 6) AS mean_inverse, max(d) AS eccentricity, count(*) AS reached FROM h WHERE d > 0 GROUP BY a",
+}
