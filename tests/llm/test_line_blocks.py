@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tremolo.llm.line_dedup import Lines, _longest_runs, common_blocks, dedup_lines
+from tremolo.llm.line_dedup import Lines, common_blocks, dedup_lines
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,7 +17,7 @@ def _line(name, words):
 def _blocks(earlier, later, min_words):
     """Lines of ``later`` in a block, by position."""
     a, b = Lines.of_texts(pa.array([earlier])), Lines.of_texts(pa.array([later]))
-    found = common_blocks(a.key.tolist(), b.key.tolist(), np.diff(b.first).tolist(), min_words)
+    found = common_blocks(a.key, b.key, np.diff(b.first), min_words)
     return sorted({k for _, j, n in found for k in range(j, j + n)}), len(b.key)
 
 
@@ -50,10 +50,11 @@ def test_blocks_against_diagonals():
         size = rng.integers(4, 15, 12)
         a, b = rng.integers(0, 12, 25), rng.integers(0, 12, 25)
         a[5:9] = b[14:18]
-        sizes = size[b].tolist()
-        found = {k for _, j, n in common_blocks(a.tolist(), b.tolist(), sizes, 25) for k in range(j, j + n)}
+        sizes = size[b]
+        blocks = common_blocks(a, b, sizes, 25)
+        assert all((a[i : i + n] == b[j : j + n]).all() and sizes[j : j + n].sum() >= 25 for i, j, n in blocks)
+        found = {k for _, j, n in blocks for k in range(j, j + n)}
         left = [-1 - j if j in found else int(x) for j, x in enumerate(b)]
-        assert _longest_runs(a.tolist(), left, sizes, 25) == []
         for i in range(25):
             for j in range(25):
                 n = 0

@@ -101,9 +101,11 @@ class Lines:
         last = data[ends - 1] if n else np.zeros(0, np.uint8)
         before = data[np.maximum(ends - 2, begins)] if n else last
         cut |= _STOP[last] | (_CLOSER[last] & _STOP[before])
-        breaks = np.cumsum(np.r_[0, data == 10])
         if n:
-            cut[:-1] |= (breaks[begins[1:]] > breaks[ends[:-1]]) | (text[1:] != text[:-1])
+            breaks = np.flatnonzero(data == 10)
+            behind = np.searchsorted(ends, breaks, "right") - 1  # the word before each line break
+            cut[behind[behind >= 0]] = True
+            cut[:-1] |= text[1:] != text[:-1]
             cut[-1] = True
         first = np.r_[0, np.flatnonzero(cut) + 1] if n else np.zeros(1, np.int64)
         sums, inverse = _sums(word)
@@ -189,47 +191,57 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _longest_runs(a: list[int], b: list[int], sizes: list[int], min_words: int) -> list[tuple[int, int, int]]:
+def _longest_runs(a: list[int], b: list[int], words: list[int], at_a: list[int], at_b: list[int], min_words: int) -> list[tuple[int, int, int]]:
     """Runs (first line in a, first in b, lines) that both have, of ``min_words`` words at least, by
-    diagonals: no alignment is chosen, so none hides a run."""
+    diagonals: no alignment is chosen, so none hides a run. ``at_a`` and ``at_b`` are the lines'
+    places, ``words`` the sizes of b's."""
     at: dict[int, list[int]] = {}
-    for i, x in enumerate(a):
-        at.setdefault(x, []).append(i)
+    for x, place in zip(a, at_a, strict=True):
+        at.setdefault(x, []).append(place)
     found: list[tuple[int, int, int]] = []
     before: dict[int, tuple[int, int]] = {}  # last line in a -> (first line in b, words) of the run so far
-    for j in range(len(b) + 1):
+    last = -2
+    for x, n, j in [*zip(b, words, at_b, strict=True), (None, 0, -1)]:
         now: dict[int, tuple[int, int]] = {}
-        for i in at.get(b[j], ()) if j < len(b) else ():
-            first, words = before.pop(i - 1, (j, 0))
-            now[i] = (first, words + sizes[j])
-        found += [(i - (j - 1 - first), first, j - first) for i, (first, words) in before.items() if words >= min_words]
-        before = now
+        for i in at.get(x, ()):
+            first, total = before.pop(i - 1, (j, 0)) if j == last + 1 else (j, 0)
+            now[i] = (first, total + n)
+        found += [(i - (last - first), first, last + 1 - first) for i, (first, total) in before.items() if total >= min_words]
+        before, last = now, j
     return found
 
 
-def common_blocks(a: list[int], b: list[int], sizes: list[int], min_words: int) -> list[tuple[int, int, int]]:
+def common_blocks(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
     """Blocks (first line in a, first line in b, lines) of the lines ``b`` (``sizes``: words of
     each) that ``a`` has too. Aligns again without the lines found, until nothing is found: blocks
     in another order, and second copies of a block, are found too. What is left is searched by
     diagonals, as an alignment of many short lines can stand in the way of a longer block."""
-    b, there = list(b), set(a)
+    if len(a) == len(b) and (a == b).all():
+        return [(0, 0, len(b))] if sizes.sum() >= min_words else []
+    # Lines that only one side has are in no block: what is aligned are the others' places.
+    a, b, size = a.tolist(), b.tolist(), sizes.tolist()
+    there = set(a).intersection(b)
+    at_a, at_b = [i for i, x in enumerate(a) if x in there], [j for j, x in enumerate(b) if x in there]
+    a, b, words = [a[i] for i in at_a], [b[j] for j in at_b], [size[j] for j in at_b]
     out: list[tuple[int, int, int]] = []
-    while sum([n for x, n in zip(b, sizes, strict=True) if x in there]) >= min_words:
+    while sum([n for x, n in zip(b, words, strict=True) if x in there]) >= min_words:
         found: list[tuple[int, int, int]] = []
-        run, words = (0, 0, 0), 0
+        first, last, total = (0, 0), (-2, -2), 0
         for i, j in [*patience(a, b), (-1, -1)]:
-            if (i, j) != (run[0] + run[2], run[1] + run[2]):
-                if words >= min_words:
-                    found.append(run)
-                run, words = (i, j, 0), 0
-            run, words = (run[0], run[1], run[2] + 1), words + sizes[j]
-        found = found or _longest_runs(a, b, sizes, min_words)
-        out += found
-        for _, j, n in found:
-            for k in range(j, j + n):
-                b[k] = -1 - k  # no key is below zero
+            x, y = (at_a[i], at_b[j]) if i >= 0 else (-1, -1)
+            if (x, y) != (last[0] + 1, last[1] + 1):
+                if total >= min_words:
+                    found.append((*first, last[1] + 1 - first[1]))
+                first, total = (x, y), 0
+            last = (x, y)
+            total += words[j] if j >= 0 else 0
+        if not found:
+            found = _longest_runs(a, b, words, at_a, at_b, min_words)
         if not found:
             break
+        out += found
+        gone = {y + k for _, y, n in found for k in range(n)}
+        b = [-1 - k if at_b[k] in gone else x for k, x in enumerate(b)]  # no key is below zero
     return out
 
 
@@ -238,9 +250,9 @@ def shared_ranges(earlier: Lines, later: Lines, e: int, k: int, min_words: int)
     with text e of ``earlier``, extended word by word."""
     a0, a1, b0, b1 = earlier.lines_at[e], earlier.lines_at[e + 1], later.lines_at[k], later.lines_at[k + 1]
     out: list[int] = []
-    sizes = np.diff(later.first[b0 : b1 + 1]).tolist()
+    sizes = np.diff(later.first[b0 : b1 + 1])
     aw0, aw1, bw0, bw1 = earlier.words_at[e], earlier.words_at[e + 1], later.words_at[k], later.words_at[k + 1]
-    for i, j, n in common_blocks(earlier.key[a0:a1].tolist(), later.key[b0:b1].tolist(), sizes, min_words):
+    for i, j, n in common_blocks(earlier.key[a0:a1], later.key[b0:b1], sizes, min_words):
         x, y, z = int(earlier.first[a0 + i]), int(later.first[b0 + j]), int(later.first[b0 + j + n])
         if not np.array_equal(earlier.word[x : x + z - y], later.word[y:z]):
             continue  # equal hashes of unequal lines
@@ -256,8 +268,8 @@ def shared_ranges(earlier: Lines, later: Lines, e: int, k: int, min_words: int)
 def _windows(min_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 text, h = Lines.of_texts(part.column(1)).windows(min_words)
                 by = np.lexsort((h, text))
                 text, h = text[by], h[by]
@@ -273,22 +285,22 @@ def _aligner(min_words: int):  # noqa: ANN202
     doc_id, then the later ones."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: list[Lines] = []
+        heads: list[tuple[Lines, int]] = []
         fresh = False
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 head = part.column(1).is_null().to_numpy(zero_copy_only=False)
                 lines = Lines.of_texts(part.column(3))
                 rows, cuts = [], []
                 for k in range(part.num_rows):
                     if head[k]:
                         heads = heads if fresh else []
-                        heads.append(Lines.of_texts(part.column(3).slice(k, 1)))
+                        heads.append((lines, k))
                         fresh = True
                         continue
                     fresh = False
-                    cut = [x for h in heads for x in shared_ranges(h, lines, 0, k, min_words)]
+                    cut = [x for h, e in heads for x in shared_ranges(h, lines, e, k, min_words)]
                     if cut:
                         rows.append(k)
                         cuts.append(cut)
@@ -301,30 +313,36 @@ def _aligner(min_words: int):  # noqa: ANN202
 def _delete(texts, cuts):  # noqa: ANN001, ANN202
     import pandas as pd
 
-    out = []
-    for text, cut in zip(texts, cuts, strict=True):
-        if text is None or cut is None:
-            out.append((text, 0, 0))
-            continue
-        lines = Lines.of_texts(pa.array([text]))
-        n = len(lines.word)
-        flips = np.zeros(n + 1, np.int64)
-        np.add.at(flips, cut[0::2], 1)
-        np.add.at(flips, cut[1::2], -1)
-        gone = np.cumsum(flips)[:n] > 0
-        raw, kept, start = text.encode(), [], 0
-        first = np.flatnonzero(gone & ~np.r_[False, gone[:-1]])
-        last = np.flatnonzero(gone & ~np.r_[gone[1:], False])
-        for a, z in zip(first.tolist(), last.tolist(), strict=True):
-            # With a block goes the white space behind it, or before it where it ends the text.
-            kept.append(raw[start : lines.begin[a]])
-            start = int(lines.begin[z + 1]) if z + 1 < n else len(raw)
-        rest = (b"".join(kept) + raw[start:]).decode()
-        whole = np.add.reduceat(gone, lines.first[:-1]) == np.diff(lines.first) if n else np.zeros(0, bool)
-        out.append((rest, int(whole.sum()), len(text) - len(rest)))
+    out: list[tuple] = [(None, 0, 0)] * len(texts)
+    hits = [k for k, (text, cut) in enumerate(zip(texts, cuts, strict=True)) if text is not None and cut is not None]
+    for at in range(0, len(hits), 128):
+        part = hits[at : at + 128]
+        lines = Lines.of_texts(pa.array([texts.iloc[k] for k in part], pa.large_string()))
+        for j, k in enumerate(part):
+            out[k] = _without(texts.iloc[k], cuts.iloc[k], lines, j)
     return pd.DataFrame(out, columns=["text", "lines", "chars"])
 
 
+def _without(text: str, cut: np.ndarray, lines: Lines, j: int) -> tuple[str, int, int]:
+    """Text j without the ranges of words ``cut``, whole lines and characters deleted."""
+    w0, w1, l0, l1 = lines.words_at[j], lines.words_at[j + 1], lines.lines_at[j], lines.lines_at[j + 1]
+    begin, first, n = lines.begin[w0:w1], lines.first[l0 : l1 + 1] - w0, int(w1 - w0)
+    flips = np.zeros(n + 1, np.int64)
+    np.add.at(flips, cut[0::2], 1)
+    np.add.at(flips, cut[1::2], -1)
+    gone = np.cumsum(flips)[:n] > 0
+    raw, kept, start = text.encode(), [], 0
+    ups = np.flatnonzero(gone & ~np.r_[False, gone[:-1]])
+    downs = np.flatnonzero(gone & ~np.r_[gone[1:], False])
+    for a, z in zip(ups.tolist(), downs.tolist(), strict=True):
+        # With a block goes the white space behind it, up to the next word or the end.
+        kept.append(raw[start : begin[a]])
+        start = int(begin[z + 1]) if z + 1 < n else len(raw)
+    rest = (b"".join(kept) + raw[start:]).decode()
+    whole = np.add.reduceat(gone, first[:-1]) == np.diff(first) if n else np.zeros(0, bool)
+    return rest, int(whole.sum()), len(text) - len(rest)
+
+
 def _free(prefix: str, columns: list[str]) -> str:
     """A name that no column has, in any case."""
     return prefix + "_" * max([0, *map(len, columns)])
