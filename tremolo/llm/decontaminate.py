@@ -52,7 +52,7 @@ UNITS = frozenset(
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = {NUM: 0x6E756D62, NAME: 0x6E616D65, UNIT: 0x756E6974}
 _STOPS = frozenset(".!?…:")
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 18
 BITS = 1 << 24
 
 
@@ -219,9 +219,9 @@ def _doc_windows(shared, widths: list[int], min_literals: int):  # noqa: ANN001,
         for b in batches:
             texts = b.column(2).to_pylist()
             at = 0
-            while at < len(texts):  # a few million characters at a time
+            while at < len(texts):  # a million characters at a time
                 size, end = 0, at
-                while end < len(texts) and (end == at or size < 2_000_000):
+                while end < len(texts) and (end == at or size < 1_000_000):
                     size += len(texts[end] or "")
                     end += 1
                 t = canonicalise(texts[at:end])

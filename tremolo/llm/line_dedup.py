@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,7 @@ _STOP = np.isin(np.arange(256), list(b".!?"))
 _CLOSER = np.isin(np.arange(256), list(b"\"')]}"))
 
 
+POWERS = 1 << 20  # powers kept; a part of a batch has fewer bytes, but where one text is larger
 _powers = {int(x): np.ones(1, np.uint64) for x in (_MULT, _BACK)}
 
 
@@ -53,9 +55,10 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """The first n of 1, base, base squared and so on, modulo 2**64; kept for the next call."""
     known = _powers[int(base)]
     if len(known) < n:
-        known = np.full(1 << int(n).bit_length(), base)
+        known = np.full(max(n, POWERS), base)
         known[0] = 1
-        known = _powers[int(base)] = np.multiply.accumulate(known)
+        known = np.multiply.accumulate(known)
+        _powers[int(base)] = known[:POWERS].copy()
     return known[:n]
 
 
@@ -265,11 +268,21 @@ def shared_ranges(earlier: Lines, later: Lines, e: int, k: int, min_words: int)
     return out
 
 
+def _parts(texts: pa.Array, most: int = 128, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(first, rows) of parts of a column: ``most`` texts and ``size`` bytes, or one text."""
+    n = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)])
+    at = 0
+    while at < len(texts):
+        rows = max(1, min(most, int(np.searchsorted(n, n[at] + size, "right")) - 1 - at, len(texts) - at))
+        yield at, rows
+        at += rows
+
+
 def _windows(min_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at, rows in _parts(b.column(1)):
+                part = b.slice(at, rows)
                 text, h = Lines.of_texts(part.column(1)).windows(min_words)
                 by = np.lexsort((h, text))
                 text, h = text[by], h[by]
@@ -288,8 +301,8 @@ def _aligner(min_words: int):  # noqa: ANN202
         heads: list[tuple[Lines, int]] = []
         fresh = False
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at, size in _parts(b.column(3)):
+                part = b.slice(at, size)
                 head = part.column(1).is_null().to_numpy(zero_copy_only=False)
                 lines = Lines.of_texts(part.column(3))
                 rows, cuts = [], []
@@ -315,10 +328,10 @@ def _delete(texts, cuts):  # noqa: ANN001, ANN202
 
     out: list[tuple] = [(None, 0, 0)] * len(texts)
     hits = [k for k, (text, cut) in enumerate(zip(texts, cuts, strict=True)) if text is not None and cut is not None]
-    for at in range(0, len(hits), 128):
-        part = hits[at : at + 128]
-        lines = Lines.of_texts(pa.array([texts.iloc[k] for k in part], pa.large_string()))
-        for j, k in enumerate(part):
+    cut_texts = pa.array([texts.iloc[k] for k in hits], pa.large_string())
+    for at, rows in _parts(cut_texts):
+        lines = Lines.of_texts(cut_texts.slice(at, rows))
+        for j, k in enumerate(hits[at : at + rows]):
             out[k] = _without(texts.iloc[k], cuts.iloc[k], lines, j)
     return pd.DataFrame(out, columns=["text", "lines", "chars"])
 
