@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import bursts, cohort, connectivity, graph, series, spikes, stats
+from ..operators import bursts, cohort, connectivity, features, graph, series, spikes, stats
 from ..operators.base import SqlOperator, expand
 
 # Recordings are event types, units are users, ticks are microseconds since the start of 2024.
@@ -196,6 +196,22 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.series_features(read(spark, sf_dir, "SELECT user_id AS id, event_id AS t, value AS x FROM {events}"))
 
 
+def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.power_qc(read(spark, sf_dir, _SAMPLES))
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.waveform_features(read(spark, sf_dir, _SAMPLES))
+
+
+def _train_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.train_regularity(read(spark, sf_dir, _SPIKES), width=3_600_000_000)
+
+
+def _network_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.network_regularity(read(spark, sf_dir, _SPIKES), width=3_600_000_000)
+
+
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(read(spark, sf_dir, _EDGES), read(spark, sf_dir, _NODES))
 
@@ -269,6 +285,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_bursts": _detected_bursts,
     "ccg_links": _links,
     "series_features": _series,
+    "power_qc": _power,
+    "waveform_features": _shapes,
+    "train_regularity": _train_regularity,
+    "network_regularity": _network_regularity,
     "ccg_grid": _ccg_grid,
     "distance_bin": _distances,
     "path_statistics": _path_statistics,
