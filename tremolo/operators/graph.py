@@ -49,6 +49,24 @@ t AS (SELECT x.src AS u, sum(x.w * y.w * z.w) / 2e0 AS t FROM s x JOIN s y ON x.
 c AS (SELECT id, coalesce(t.t, 0) AS t, coalesce(k, 0) * (coalesce(k, 0) - 1) - 2 * coalesce(m, 0) AS p FROM {nodes} n LEFT JOIN k ON n.id = k.u LEFT JOIN f ON n.id = f.u LEFT JOIN t ON n.id = t.u)"""
 clustering_dir = SqlOperator("Clustering coefficient of a directed binary graph (BG14).", _DIR + " SELECT id, round(CASE WHEN t > 0 THEN t / p ELSE 0 END, 6) AS c FROM c")
 transitivity_dir = SqlOperator("Transitivity of a directed binary graph (BG125).", _DIR + " SELECT round(sum(t) * 1e0 / sum(p), 6) AS t FROM c")
+# Weighted directed triangles: sums of both directions' cube roots, each triple of a node once.
+_DIRW = """
+WITH a AS (SELECT src, dst, w FROM {edges} WHERE src <> dst AND w <> 0),
+s AS (SELECT src, dst, sum(r) AS r, count(*) AS b FROM (SELECT src, dst, @CBRT(w) AS r FROM a UNION ALL SELECT dst AS src, src AS dst, @CBRT(w) FROM a) x GROUP BY src, dst),
+k AS (SELECT src AS u, sum(b) AS k FROM s GROUP BY src), f AS (SELECT src AS u, count(*) AS m FROM s WHERE b = 2 GROUP BY src),
+t AS (SELECT x.src AS u, sum(x.r * y.r * z.r) / 2e0 AS t FROM s x JOIN s y ON x.dst = y.src JOIN s z ON y.dst = z.dst AND z.src = x.src WHERE x.src <> y.dst GROUP BY x.src),
+c AS (SELECT id, coalesce(t.t, 0) AS t, coalesce(k, 0) * (coalesce(k, 0) - 1) - 2 * coalesce(m, 0) AS p FROM {nodes} n LEFT JOIN k ON n.id = k.u LEFT JOIN f ON n.id = f.u LEFT JOIN t ON n.id = t.u)"""
+clustering_wd = SqlOperator("Clustering coefficient of a directed weighted graph (BG16).", _DIRW + " SELECT id, round(CASE WHEN t > 0 THEN t / p ELSE 0 END, 6) AS c FROM c")
+transitivity_wd = SqlOperator("Transitivity of a directed weighted graph (BG127).", _DIRW + " SELECT round(sum(t) / nullif(sum(p), 0), 6) AS t FROM c")
+clustering_sign = SqlOperator(
+    "Clustering coefficient of a signed weighted graph, of positive and of negative weights: triangles of cube roots over open pairs of weights (BG18).",
+    """
+WITH a AS (SELECT src, dst, CASE WHEN w > 0 THEN 1 ELSE -1 END AS sign, abs(w) AS w FROM {edges} WHERE src <> dst AND w <> 0),
+k AS (SELECT src AS u, sign, count(*) AS k FROM a GROUP BY src, sign),
+t AS (SELECT x.src AS u, x.sign, sum(@CBRT(x.w * y.w * z.w)) AS t FROM a x JOIN a y ON x.dst = y.src AND x.sign = y.sign JOIN a z ON y.dst = z.dst AND z.src = x.src AND x.sign = z.sign WHERE x.src <> y.dst GROUP BY x.src, x.sign),
+c AS (SELECT k.u, k.sign, CASE WHEN k > 1 THEN coalesce(t, 0) / (k * (k - 1)) ELSE 0 END AS c FROM k LEFT JOIN t ON k.u = t.u AND k.sign = t.sign)
+SELECT id, round(coalesce(max(CASE WHEN sign = 1 THEN c END), 0), 6) AS c_pos, round(coalesce(max(CASE WHEN sign = -1 THEN c END), 0), 6) AS c_neg FROM {nodes} n LEFT JOIN c ON n.id = c.u GROUP BY id""",
+)
 assortativity = SqlOperator(
     "Correlation of degrees, and of strengths, over the edges (BG5, BG6, G3).",
     f"""

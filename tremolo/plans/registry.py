@@ -21,6 +21,7 @@ _SPIKES = "SELECT event_type AS rec, user_id AS unit, @MICROS(ts) AS tick FROM {
 _NEXT = "SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM {events} WHERE event_type = 'purchase'"
 _ARCS = f"SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM ({_NEXT}) z WHERE dst IS NOT NULL GROUP BY src, dst"
 _EDGES = f"SELECT src, dst, CAST(sum(w) AS DOUBLE) AS w FROM (SELECT src, dst, w FROM ({_ARCS}) p UNION ALL SELECT dst AS src, src AS dst, w FROM ({_ARCS}) q) z WHERE src <> dst GROUP BY src, dst"
+_SIGNED = f"SELECT src, dst, CASE WHEN (src + dst) % 3 = 0 THEN -w ELSE w END AS w FROM ({_EDGES}) y"
 _NODES = "SELECT DISTINCT user_id AS id FROM {events}"
 _MODULES = "SELECT DISTINCT user_id AS id, user_id % 4 AS module FROM {events}"
 _PLACES = "SELECT vec_id AS unit, CAST(@AT(embedding, 1) AS DOUBLE) AS x, CAST(@AT(embedding, 2) AS DOUBLE) AS y FROM {embeddings}"
@@ -80,7 +81,7 @@ _members = Query(stats.membership_weights, neighbours=_WEIGHTED)
 
 _UNDIRECTED_ALONE = ("transitivity", "assortativity", "local_assortativity", "edge_overlap", "matching_index", "topological_overlap", "rich_club", "rich_club_wei", "threshold_absolute", "weight_conversion", "walk_counts")
 _UNDIRECTED_WITH_NODES = ("degrees", "density_und", "clustering", "threshold_proportional", "pajek_lines")
-_DIRECTED_WITH_NODES = ("density_dir", "clustering_dir", "transitivity_dir")
+_DIRECTED_WITH_NODES = ("density_dir", "clustering_dir", "transitivity_dir", "clustering_wd", "transitivity_wd")
 _BY_MODULE = ("participation", "diversity", "module_zscore", "module_order")
 
 _SQL: dict[str, Query] = {
@@ -169,7 +170,8 @@ _SQL: dict[str, Query] = {
     "cohort_cube": Query(cohort.cohort_cube, rows=_CUSTOMERS),
     "degrees_dir": _degrees_dir,
     "joint_degree": Query(graph.joint_degree, degrees=_degrees_dir),
-    "signed_strengths": Query(graph.signed_strengths, edges=f"SELECT src, dst, CASE WHEN (src + dst) % 3 = 0 THEN -w ELSE w END AS w FROM ({_EDGES}) y", nodes=_NODES),
+    "signed_strengths": Query(graph.signed_strengths, edges=_SIGNED, nodes=_NODES),
+    "clustering_sign": Query(graph.clustering_sign, edges=_SIGNED, nodes=_NODES),
     "assortativity_dir": Query(graph.assortativity_dir, edges=_ARCS),
     "flow_coefficient": Query(graph.flow_coefficient, edges=_ARCS),
     "triad_census": Query(graph.triad_census, edges=_ARCS),
@@ -238,10 +240,10 @@ def _covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectivity.differential_covariance(read(spark, sf_dir, raster))
 
 
-def _kernel(kernel: str, schema: str) -> Callable[[SparkSession, str], DataFrame]:
+def _kernel(kernel: str, schema: str, **params) -> Callable[[SparkSession, str], DataFrame]:  # noqa: ANN003
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges = read(spark, sf_dir, f"SELECT 'purchase' AS g, src, dst, w FROM ({_EDGES}) y")
-        return graph.dense(edges, read(spark, sf_dir, f"SELECT 'purchase' AS g, id FROM ({_NODES}) y"), kernel, schema)
+        return graph.dense(edges, read(spark, sf_dir, f"SELECT 'purchase' AS g, id FROM ({_NODES}) y"), kernel, schema, **params)
 
     return run
 
@@ -280,6 +282,24 @@ _KERNELS = {
     "ks_energy": "g string, energy double, degree double, clustering double, betweenness double, length double",
 }
 
+# Forms of kernels with parameters: query -> (kernel, columns, parameters).
+_EDGE_LIST = "g string, a long, b long"
+_FORMS: dict[str, tuple[str, str, dict]] = {
+    "edge_range": ("edge_range", "g string, a long, b long, range double, shortcut boolean", {}),
+    "clique_communities": ("clique_communities", "g string, id long, community long", {}),
+    "paths": ("paths", "g string, edges long, paths double, cycles double, cycle_share double", {"q": 3}),
+    "generative_model": ("generative_model", _EDGE_LIST, {}),
+    "global_efficiency_wei": ("global_efficiency", "g string, efficiency double", {"weighted": True}),
+    "local_efficiency_wei": ("local_efficiency", "g string, id long, efficiency double", {"weighted": True}),
+    "betweenness_wei": ("betweenness", "g string, id long, betweenness double", {"weighted": True}),
+    "edge_betweenness_wei": ("edge_betweenness", "g string, a long, b long, betweenness double", {"weighted": True}),
+    "rewired_dir": ("rewired", "g string, a long, b long, w double, swaps long", {"directed": True}),
+    "rewired_connected": ("rewired", "g string, a long, b long, w double, swaps long", {"connected": True, "iterations": 1}),
+    "latticised": ("rewired", "g string, a long, b long, w double, swaps long", {"lattice": True}),
+    **{f"generated_{kind}": ("generated", _EDGE_LIST, {"kind": kind}) for kind in ("lattice", "ring", "toeplitz", "fractal", "even")},
+    "generated_und": ("generated", _EDGE_LIST, {"directed": False}),
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **_SQL,
     "detect_bursts": _detected_bursts,
@@ -296,6 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "core_numbers": _cores,
     "differential_covariance": _covariance,
     **{f"graph_{name}": _kernel(name, schema) for name, schema in _KERNELS.items()},
+    **{f"graph_{name}": _kernel(kernel, schema, **params) for name, (kernel, schema, params) in _FORMS.items()},
 }
 # Breadth first in one recursion: every pair once for each distance at which a walk meets it, the
 # least of them counts. 12 hops are over the diameter of the graphs of the given tables.
