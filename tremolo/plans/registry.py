@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import bursts, cohort, connectivity, features, graph, series, spikes, stats
+from ..operators import bursts, cohort, connectivity, embedding, features, graph, series, spikes, stats
 from ..operators.base import SqlOperator, expand
 
 # Recordings are event types, units are users, ticks are microseconds since the start of 2024.
@@ -198,6 +198,23 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.series_features(read(spark, sf_dir, "SELECT user_id AS id, event_id AS t, value AS x FROM {events}"))
 
 
+_ROWS = "SELECT vec_id AS id, embedding AS x FROM {embeddings}"
+
+
+def _components_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.principal_components(read(spark, sf_dir, _ROWS), 3)
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set is every row whose id is divisible by 100, against all rows."""
+    rows = read(spark, sf_dir, _ROWS)
+    return embedding.nearest_neighbours(rows.where("id % 100 = 0"), rows)
+
+
+def _k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.k_means(read(spark, sf_dir, _ROWS), 8)
+
+
 def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.power_qc(read(spark, sf_dir, _SAMPLES))
 
@@ -305,6 +322,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_bursts": _detected_bursts,
     "ccg_links": _links,
     "series_features": _series,
+    "principal_components": _components_of_rows,
+    "nearest_neighbours": _neighbours,
+    "k_means": _k_means,
     "power_qc": _power,
     "waveform_features": _shapes,
     "train_regularity": _train_regularity,
