@@ -11,8 +11,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import bursts, cohort, connectivity, embedding, features, graph, series, spikes, stats
+from ..operators import bursts, cohort, connectivity, embedding, features, graph, learning, series, spikes, stats
 from ..operators.base import SqlOperator, expand
 
 # Recordings are event types, units are users, ticks are microseconds since the start of 2024.
@@ -211,6 +212,22 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.nearest_neighbours(rows.where("id % 100 = 0"), rows)
 
 
+_LABELLED = "SELECT vec_id AS id, CAST(vec_id % 17 AS VARCHAR(4)) AS unit_of, CAST(label % 3 AS VARCHAR(4)) AS label, embedding AS x FROM {embeddings}"
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.cross_classify(read(spark, sf_dir, _LABELLED), "logistic", k=3)
+
+
+def _regressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.cross_regress(read(spark, sf_dir, _LABELLED), k=2, trees=20)
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axes = embedding.principal_components(read(spark, sf_dir, _ROWS), 4)
+    return learning.mixture(axes.select("id", F.col("scores").alias("x")), ks=(2, 3))
+
+
 def _k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.k_means(read(spark, sf_dir, _ROWS), 8)
 
@@ -325,6 +342,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "principal_components": _components_of_rows,
     "nearest_neighbours": _neighbours,
     "k_means": _k_means,
+    "cross_classify": _classified,
+    "cross_regress": _regressed,
+    "gaussian_mixture": _mixture,
     "power_qc": _power,
     "waveform_features": _shapes,
     "train_regularity": _train_regularity,
