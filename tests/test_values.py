@@ -4,6 +4,7 @@ import math
 from collections import Counter, deque
 
 import numpy as np
+import pytest
 
 from tremolo.functions import graph_kernels
 from tremolo.operators import bursts, cohort, connectivity, graph, spikes
@@ -175,3 +176,12 @@ def test_ccg_pair_at_the_edges_of_bins_and_windows(spark):
             if gap <= 20 * 50.5 if x < y else -gap < 20 * 50.5:
                 wanted[int(-math.floor(0.5 + (x - y) / 20))] += 1
     assert found == wanted
+
+
+def test_tables_side_by_side(spark):
+    a = spark.createDataFrame([(1, "x", 0.5), (2, "x", 0.25)], "unit long, rec string, f double")
+    b = spark.createDataFrame([("x", 2, 7), ("y", 2, 8)], "rec string, unit long, g long")
+    found = cohort.join_features([a, b], ["unit", "rec"]).select("unit", "rec", "f", "g").collect()
+    assert {tuple(r) for r in found} == {(1, "x", 0.5, None), (2, "x", 0.25, 7), (2, "y", None, 8)}
+    with pytest.raises(ValueError, match="f"):
+        cohort.join_features([a, a], ["unit", "rec"])

@@ -38,6 +38,16 @@ def union_common(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [p.select(*common) for p in parts])
 
 
+def join_features(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Feature tables side by side (J7), by keys and not by position; a row that a table lacks has
+    nulls there. A feature name in two tables is an error; null keys match nothing."""
+    names = [c for p in parts for c in p.columns if c not in keys]
+    twice = sorted({c for c in names if names.count(c) > 1})
+    if twice:
+        raise ValueError(f"in more than one table: {twice}")
+    return reduce(lambda a, b: a.join(b, keys, "full"), parts)
+
+
 def drop_constant_columns(df: DataFrame, keys: list[str]) -> DataFrame:
     """Drops columns without variance or with missing values (F17): one aggregate, then a
     projection."""
