@@ -18,8 +18,15 @@ from tremolo.llm.quality import scorer, train
 from tremolo.llm.shingle_dedup import similar_components
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches between JVM and workers are bounded by bytes: of long texts or lists 10,000 rows
+    (the default) take hundreds of MB on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at 0.7 or more stay."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return docs.where(scorer(train(docs, labels))(F.col("text")) >= 0.7)
 
@@ -32,11 +39,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more,
-    verified on whole texts) the document of the least id stays, once. A document is
-    an id and a text: of texts under one id each is judged by itself. Rows without an id stay."""
+    """Of each group of near-duplicates (fingerprints of five-word shingles that differ in 4 bits or
+    fewer, or a Jaccard similarity of 0.8 or more, verified on whole texts) the document of the
+    least id stays, once. A document is an id and a text: of texts under one id each is judged by
+    itself. Rows without an id stay."""
+    _small_batches(spark)
     key = F.struct("doc_id", F.xxhash64("text").alias("tk"))
-    groups = Scratch(spark, "near").keep(similar_components(docs.where("doc_id IS NOT NULL").select(key.alias("key"), "text"), "key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("kept")), "groups")
+    groups = Scratch(spark, "near").keep(similar_components(docs.where("doc_id IS NOT NULL").select(key.alias("key"), "text"), "key", stand=True).select(F.col("doc_id").alias("key"), F.col("component_id").alias("kept")), "groups")
     gone = groups.where("key <> kept").select("key").distinct()
     rest = _without(docs, gone, "left_anti")
     again = groups.where("key = kept").groupBy("key").count().where("count > 1").select("key")

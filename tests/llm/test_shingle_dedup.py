@@ -58,3 +58,34 @@ def test_stage_drops_a_copy_that_simhash_at_four_bits_leaves(spark):
     a, b = far[0]
     docs = spark.createDataFrame([(a, text[a], None, None, None), (b, text[b], None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [a]
+
+
+def test_links_of_the_index_stand_below_the_similarity(spark):
+    """A pair that only its fingerprints link: 4 bits or fewer apart, similarity under 0.8."""
+    from tremolo.llm.shingle_dedup import majority
+
+    rng = random.Random(11)
+    found = None
+    while found is None:
+        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        other = list(base)
+        for k in rng.sample(range(200), 6):
+            other[k] = f"v{rng.randrange(4000)}"
+        x, y = (shingles(" ".join(t), 5) for t in (base, other))
+        same = len(set(x.tolist()) & set(y.tolist()))
+        if same * 18 < 8 * (len(x) + len(y)) and ((majority(x) ^ majority(y)) & (2**64 - 1)).bit_count() <= 4:
+            found = base, other
+    rows = [(k, " ".join(t), None, None, None) for k, t in enumerate(found, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+def test_batches_of_lists_are_worked_in_parts():
+    import pyarrow as pa
+    from tremolo.llm.shingle_dedup import PART, _parts
+
+    n = [3, PART, 5, 2 * PART, 1, 0]
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([[0] * k for k in n], pa.list_(pa.int64()))], names=["node", "h"])
+    parts = list(_parts(b, 1))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(6))
+    assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= PART for p in parts)

@@ -1,14 +1,16 @@
-"""SimHash near-duplicates verified by the Jaccard similarity of whole texts' word shingles, and
-made whole: no pair of the given similarity is left.
+"""SimHash near-duplicates, made whole: no pair of the given Jaccard similarity of whole texts'
+word shingles is left.
 
 Texts of one set of shingles are one node. The Gray-order index links nodes whose SimHash
-fingerprints over these shingles differ in ``radius`` bits or fewer; every link is verified on the
-whole sets. At a similarity of 0.8 fingerprints differ in some 10 bits, beyond what an
-index can search at scale, so the links that SimHash can't give are added: shingles stand in one order for all nodes, common ones
-last; two nodes of similarity ``t`` share one of their first ``n - ceil(t n) + 1`` shingles, so
+fingerprints over these shingles differ in ``radius`` bits or fewer. Where links ``stand``, such a
+link counts as it is, as in op5, also where the similarity is below the given one; else it is
+verified on the whole sets. At a similarity of 0.8 fingerprints differ
+in some 10 bits, beyond what an index can search at scale, so the links that SimHash can't give are
+added: shingles stand in one order for all nodes, common ones last; two nodes of similarity ``t`` share one of their first ``n - ceil(t n) + 1`` shingles, so
 the nodes that share one of these are the candidates, and every candidate pair is verified on
 the whole sets. First each node meets a few heads of its shingles; then, of pairs not yet in
-one component, all. No candidate is dropped, so the components are those of all pairs.
+one component, all. No candidate is dropped, so the components are those of all pairs and of the
+links that stand.
 
 Defined results of odd inputs: a null text counts as empty; empty texts are one node; a text
 shorter than a shingle is one shingle; an empty table gives an empty result.
@@ -30,6 +32,7 @@ from .simhash import link_components
 SEED = 42
 HEADS, SAMPLE = 8, 8
 BROADCAST = 1_000_000  # as many node keys at most
+PART = 1 << 18  # shingles of a part of a batch, but where one text has more
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -63,10 +66,20 @@ def _sets(width: int):
     return run
 
 
+def _parts(b: pa.RecordBatch, column: int, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """``b`` in parts of ``most`` values of a list column at most, but where one row has more."""
+    ends = b.column(column).offsets.to_numpy()
+    at = 0
+    while at < b.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield b.slice(at, stop - at)
+        at = stop
+
+
 def _prefixes(hot, slots: int, tenths: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, count = hot.value
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole, 1)):
             lists = b.column(1)
             x, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
             owner = np.repeat(np.arange(b.num_rows), n)
@@ -83,9 +96,10 @@ def _prefixes(hot, slots: int, tenths: int):  # noqa: ANN001, ANN202
     return run
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tenths: int = 8, radius: int = 4) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tenths: int = 8, radius: int = 4, stand: bool = False) -> DataFrame:
     """One row per document: doc_id and component_id (the smallest doc_id reachable over pairs of
-    texts whose shingles of ``width`` words have a Jaccard similarity of ``tenths`` / 10 or more)."""
+    texts whose shingles of ``width`` words have a Jaccard similarity of ``tenths`` / 10 or more or, if
+    links ``stand``, fingerprints of ``radius`` or fewer differing bits)."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "shingles")
@@ -142,14 +156,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = scratch.keep(link_components(spark, prints.select("fp").distinct(), scratch, radius).select(F.col("node").alias("l_fp"), "root"), "linked")
     grouped = scratch.keep(prints.join(linked, F.col("fp") == F.col("l_fp"), "left").select("node", F.coalesce("root", "fp").alias("root")), "grouped")
     first = scratch.keep(grouped.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("root", "a"), "firsts")
-    close = grouped.join(first, "root").where("node <> a").select("a", F.col("node").alias("b"))
+    close = scratch.keep(grouped.join(first, "root").where("node <> a").select("a", F.col("node").alias("b")), "close")
+    for part in ("prints", "linked", "grouped", "firsts"):
+        scratch.drop(part)
 
     lead = shared.where("leads").select("x", F.col("node").alias("a"), F.col("n").alias("m"))
     follow = shared.where("NOT leads").select("x", "node", "n")
     met = follow.hint("merge").join(lead, "x").where(near("n", "m")).select("a", F.col("node").alias("b"))
-    edges = verified(met.unionByName(close), "head")
-    for part in ("prints", "linked", "grouped", "firsts"):
-        scratch.drop(part)
+    edges = verified(met, "head").unionByName(close) if stand else verified(met.unionByName(close), "head")
     found = scratch.keep(components(spark, edges, scratch, "heads"), "head-roots")
     rest = follow.join(found, "node", "left").select("x", "node", "n", F.coalesce("root", "node").alias("root"))
     rest = scratch.keep(rest, "rest")
