@@ -62,3 +62,10 @@ def test_distance_wei(spark):
     path = np.diag(np.full(4, 2.0), 1)
     path[0, 4] = 0.5  # as long as the four edges of 1/2: the path of fewest edges counts
     assert dict((r[1], r[3]) for r in _found(spark, path, "distance_wei", "g string, a long, b long, d double, hops double") if r[0] == 0)[4] == 1
+
+
+def test_global_efficiency_wei(spark):
+    a = _random(14)
+    total = sum(r[0] for r in _found(spark, a, "inverse_distances", "g string, inverse double, nodes long"))
+    d = _lengths(a, True)
+    assert abs(total - sum(1 / d[x, y] for x in range(14) for y in range(14) if x != y)) < 1e-9
