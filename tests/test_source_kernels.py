@@ -69,3 +69,9 @@ def test_global_efficiency_wei(spark):
     total = sum(r[0] for r in _found(spark, a, "inverse_distances", "g string, inverse double, nodes long"))
     d = _lengths(a, True)
     assert abs(total - sum(1 / d[x, y] for x in range(14) for y in range(14) if x != y)) < 1e-9
+
+
+def test_betweenness_wei(spark):
+    a = _random(14)
+    got = _total(_found(spark, a, "betweenness", "g string, id long, x double", weighted=True), 14)
+    assert np.allclose(got, _through(a, True)[0])
