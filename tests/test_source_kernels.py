@@ -75,3 +75,9 @@ def test_betweenness_wei(spark):
     a = _random(14)
     got = _total(_found(spark, a, "betweenness", "g string, id long, x double", weighted=True), 14)
     assert np.allclose(got, _through(a, True)[0])
+
+
+def test_betweenness(spark):
+    a = _random(14)
+    got = _total(_found(spark, a, "betweenness", "g string, id long, x double", weighted=False), 14)
+    assert np.allclose(got, _through(a, False)[0])
