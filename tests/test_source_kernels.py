@@ -81,3 +81,9 @@ def test_betweenness(spark):
     a = _random(14)
     got = _total(_found(spark, a, "betweenness", "g string, id long, x double", weighted=False), 14)
     assert np.allclose(got, _through(a, False)[0])
+
+
+def test_edge_betweenness(spark):
+    a = _random(14)
+    got = _total(_found(spark, a, "edge_betweenness", "g string, a long, b long, x double", weighted=False), 14)
+    assert np.allclose(got, _through(a, False)[1])
