@@ -87,3 +87,9 @@ def test_edge_betweenness(spark):
     a = _random(14)
     got = _total(_found(spark, a, "edge_betweenness", "g string, a long, b long, x double", weighted=False), 14)
     assert np.allclose(got, _through(a, False)[1])
+
+
+def test_edge_betweenness_wei(spark):
+    a = _random(14)
+    got = _total(_found(spark, a, "edge_betweenness", "g string, a long, b long, x double", weighted=True), 14)
+    assert np.allclose(got, _through(a, True)[1])
