@@ -1,6 +1,7 @@
 """Kernels by blocks of sources against plain loops, through Spark."""
 
 import numpy as np
+import pytest
 from test_graph_values import _random
 
 from tremolo.operators import graph
@@ -93,3 +94,9 @@ def test_edge_betweenness_wei(spark):
     a = _random(14)
     got = _total(_found(spark, a, "edge_betweenness", "g string, a long, b long, x double", weighted=True), 14)
     assert np.allclose(got, _through(a, True)[1])
+
+
+@pytest.mark.parametrize("n, far", [(3, 2), (4, 3), (9, 8), (12, 11)])
+def test_edge_range(spark, n, far):
+    cycle = np.roll(np.eye(n), 1, axis=1)
+    assert set(r[2:] for r in _found(spark, cycle + cycle.T, "edge_range", "g string, a long, b long, d double, shortcut boolean")) == {(far, far > 2)}
