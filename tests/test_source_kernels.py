@@ -100,3 +100,13 @@ def test_edge_betweenness_wei(spark):
 def test_edge_range(spark, n, far):
     cycle = np.roll(np.eye(n), 1, axis=1)
     assert set(r[2:] for r in _found(spark, cycle + cycle.T, "edge_range", "g string, a long, b long, d double, shortcut boolean")) == {(far, far > 2)}
+
+
+def test_characteristic_path_of_a_graph_too_large_for_a_matrix(spark):
+    n = 60_000  # a matrix of 29 GB; a star: two steps between leaves
+    star = spark.range(1, n).selectExpr("'x' AS g", "0L AS src", "id AS dst", "1D AS w")
+    edges = star.unionByName(star.selectExpr("g", "dst AS src", "src AS dst", "w"))
+    schema = "g string, reached long, total long, inverse double, low double, high double, nodes long"
+    got = graph.by_sources(edges, spark.range(n).selectExpr("'x' AS g", "id"), "hop_statistics", schema)
+    reached, total, low, high = got.selectExpr("sum(reached)", "sum(total)", "min(low)", "max(high)").first()
+    assert (reached, total, low, high) == (n * (n - 1), 2 * (n - 1) + 2 * (n - 1) * (n - 2), 1, 2)
