@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from test_graph_values import _random
+from tests.test_graph_values import _random
 
 from tremolo.operators import graph
 
@@ -110,3 +110,16 @@ def test_characteristic_path_of_a_graph_too_large_for_a_matrix(spark):
     got = graph.by_sources(edges, spark.range(n).selectExpr("'x' AS g", "id"), "hop_statistics", schema)
     reached, total, low, high = got.selectExpr("sum(reached)", "sum(total)", "min(low)", "max(high)").first()
     assert (reached, total, low, high) == (n * (n - 1), 2 * (n - 1) + 2 * (n - 1) * (n - 2), 1, 2)
+
+
+def _star(spark, n):
+    """Edges and nodes of a star whose matrix would take 8 n * n bytes."""
+    arm = spark.range(1, n).selectExpr("'x' AS g", "0L AS src", "id AS dst", "1D AS w")
+    return arm.unionByName(arm.selectExpr("g", "dst AS src", "src AS dst", "w")), spark.range(n).selectExpr("'x' AS g", "id")
+
+
+def test_walks_of_a_graph_too_large_for_a_matrix(spark):
+    n = 60_000
+    got = graph.by_sources(*_star(spark, n), "walks", "g string, steps long, walks double", whole=True, loops=True)
+    m = n - 1
+    assert [r["walks"] for r in got.orderBy("steps").collect()] == [2 * m, m * m + m, 2 * m * m, m**3 + m * m]
