@@ -123,3 +123,9 @@ def test_walks_of_a_graph_too_large_for_a_matrix(spark):
     got = graph.by_sources(*_star(spark, n), "walks", "g string, steps long, walks double", whole=True, loops=True)
     m = n - 1
     assert [r["walks"] for r in got.orderBy("steps").collect()] == [2 * m, m * m + m, 2 * m * m, m**3 + m * m]
+
+
+def test_eigenvector_of_a_graph_too_large_for_a_matrix(spark):
+    n = 60_000
+    got = dict(r[1:] for r in graph.by_sources(*_star(spark, n), "eigenvector_centrality", "g string, id long, c double", whole=True, loops=True).collect())
+    assert len(got) == n and abs(got[0] - 0.5**0.5) < 1e-6 and abs(got[7] - (0.5 / (n - 1)) ** 0.5) < 1e-6
