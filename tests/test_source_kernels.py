@@ -129,3 +129,10 @@ def test_eigenvector_of_a_graph_too_large_for_a_matrix(spark):
     n = 60_000
     got = dict(r[1:] for r in graph.by_sources(*_star(spark, n), "eigenvector_centrality", "g string, id long, c double", whole=True, loops=True).collect())
     assert len(got) == n and abs(got[0] - 0.5**0.5) < 1e-6 and abs(got[7] - (0.5 / (n - 1)) ** 0.5) < 1e-6
+
+
+def test_paths_of_a_graph_too_large_for_a_matrix(spark):
+    n = 60_000
+    got = graph.by_sources(*_star(spark, n), "paths", "g string, edges long, paths double, cycles double, share double", whole=True, q=3)
+    m = n - 1
+    assert [r[2:4] for r in got.orderBy("edges").collect()] == [(2 * m, 0), (m * (m - 1), 2 * m), (0, 0)]
