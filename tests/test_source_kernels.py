@@ -136,3 +136,12 @@ def test_paths_of_a_graph_too_large_for_a_matrix(spark):
     got = graph.by_sources(*_star(spark, n), "paths", "g string, edges long, paths double, cycles double, share double", whole=True, q=3)
     m = n - 1
     assert [r[2:4] for r in got.orderBy("edges").collect()] == [(2 * m, 0), (m * (m - 1), 2 * m), (0, 0)]
+
+
+def test_latticised_on_a_graph_too_large_for_a_matrix(spark):
+    n = 60_000
+    half = spark.range(0, n, 100).selectExpr("'x' AS g", "id AS src", "(id + 30100) % 60000 AS dst", "1D AS w").where("src < dst")
+    edges = half.unionByName(half.selectExpr("g", "dst AS src", "src AS dst", "w"))
+    got = graph.by_sources(edges, spark.range(n).selectExpr("'x' AS g", "id"), "latticised", "g string, a long, b long, w double, swaps long", whole=True, seeded=True)
+    before, after = (sorted(r[0] for r in x.collect()) for x in (edges.select("src"), got.select("a")))
+    assert before == after and got.first()["swaps"] > 0
