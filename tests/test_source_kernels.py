@@ -145,3 +145,10 @@ def test_latticised_on_a_graph_too_large_for_a_matrix(spark):
     got = graph.by_sources(edges, spark.range(n).selectExpr("'x' AS g", "id"), "latticised", "g string, a long, b long, w double, swaps long", whole=True, seeded=True)
     before, after = (sorted(r[0] for r in x.collect()) for x in (edges.select("src"), got.select("a")))
     assert before == after and got.first()["swaps"] > 0
+
+
+def test_subgraph_centrality(spark):
+    a = _random(14)
+    val, vec = np.linalg.eigh((a > 0) * 1.0)
+    got = dict(_found(spark, a, "subgraph_centrality", "g string, id long, c double", loops=True))
+    assert np.allclose([got[k] for k in range(14)], (vec**2) @ np.exp(val))
