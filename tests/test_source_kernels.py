@@ -152,3 +152,13 @@ def test_subgraph_centrality(spark):
     val, vec = np.linalg.eigh((a > 0) * 1.0)
     got = dict(_found(spark, a, "subgraph_centrality", "g string, id long, c double", loops=True))
     assert np.allclose([got[k] for k in range(14)], (vec**2) @ np.exp(val))
+
+
+def test_hop_pairs_are_not_joined(spark, capsys):
+    a = _random(14)
+    edges, nodes = (x.drop("g") for x in _given(spark, a))
+    found = graph.hop_distances(edges, nodes)
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+    d = _lengths(a, False)
+    assert {(r["a"], r["b"]): r["d"] for r in found.collect()} == {(x, y): d[x, y] for x in range(14) for y in range(14)}
