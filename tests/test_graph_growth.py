@@ -28,3 +28,12 @@ def test_generative_model_draws_as_if_all_weights_were_made_anew():
     began = time.time()
     assert len(g.generative_model(np.zeros((1500, 1500)), np.arange(1500), np.random.default_rng(1), k=600)[0]) == 600
     assert time.time() - began < 60  # some 190 s with all weights made anew
+
+
+def test_ks_energy_of_a_graph_of_thousands_of_edges():
+    rng = np.random.default_rng(2)
+    a = np.triu(rng.random((700, 700)) < 0.03, 1) * 1.0
+    began = time.time()
+    e = [x[0] for x in g.ks_energy(a + a.T, np.arange(700), rng)]
+    assert e[0] == max(e[1:]) and 0 < e[0] <= 1
+    assert time.time() - began < 60  # 7,000 steps of over 30 ms before
