@@ -37,3 +37,13 @@ def test_ks_energy_of_a_graph_of_thousands_of_edges():
     e = [x[0] for x in g.ks_energy(a + a.T, np.arange(700), rng)]
     assert e[0] == max(e[1:]) and 0 < e[0] <= 1
     assert time.time() - began < 60  # 7,000 steps of over 30 ms before
+
+
+def test_diffusion_efficiency_by_elimination(monkeypatch):
+    n = 9
+    a = np.ones((n, n)) - np.eye(n)  # every passage takes n - 1 steps on average
+    for name in ("eig", "pinv"):
+        monkeypatch.setattr(np.linalg, name, None)
+    assert abs(g.diffusion_efficiency(a, np.arange(n), None)[0][0] - 1 / (n - 1)) < 1e-12
+    cycle = np.roll(np.eye(n), 1, axis=1)
+    assert abs(g.diffusion_efficiency(cycle, np.arange(n), None)[0][0] - np.mean(1 / np.arange(1, n))) < 1e-9
