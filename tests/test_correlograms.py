@@ -23,3 +23,11 @@ def test_counts_are_those_of_the_sql_and_shuffle_nothing(spark, capsys):
     found.explain()
     assert "Exchange" not in capsys.readouterr().out
     assert _same(found, connectivity.ccg_counts(spikes=df, width=110, **PARAMS))
+
+
+def test_sums_over_recordings_are_those_of_the_sql(spark, capsys):
+    df = _spikes(spark)
+    found = connectivity.correlograms(df, "sum", **PARAMS)
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert _same(found, connectivity.ccg_sum(ccg=connectivity.ccg_counts(spikes=df, width=110, **PARAMS)))
