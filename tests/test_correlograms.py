@@ -31,3 +31,19 @@ def test_sums_over_recordings_are_those_of_the_sql(spark, capsys):
     found.explain()
     assert "Exchange" not in capsys.readouterr().out
     assert _same(found, connectivity.ccg_sum(ccg=connectivity.ccg_counts(spikes=df, width=110, **PARAMS)))
+
+
+def test_links_of_rows_that_stand_together(spark):
+    rng, rows = random.Random(5), []
+    for k in range(300):  # unit 2 fires one or two bins after unit 1; units 3 and 4 by chance
+        at = k * 1000 + rng.randrange(200)
+        rows += [("x", 1, at), ("x", 2, at + 30), ("x", 3, rng.randrange(300_000)), ("x", 4, rng.randrange(300_000))]
+    df = spark.createDataFrame(rows, "rec string, unit long, tick long")
+    counts = connectivity.correlograms(df, bin=20, half=50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # pairs go over the ends of batches
+    try:
+        together = sorted(map(tuple, connectivity.ccg_links(counts, together=True).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ("x", 1, 2, 1) in together
+    assert together == sorted(map(tuple, connectivity.ccg_links(counts).collect()))
