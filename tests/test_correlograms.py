@@ -47,3 +47,12 @@ def test_links_of_rows_that_stand_together(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert ("x", 1, 2, 1) in together
     assert together == sorted(map(tuple, connectivity.ccg_links(counts).collect()))
+
+
+def test_grid_is_that_of_the_sql(spark, capsys):
+    df = _spikes(spark)
+    found = connectivity.correlograms(df, "grid", **PARAMS)
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+    counts = connectivity.ccg_counts(spikes=df, width=110, **PARAMS)
+    assert _same(found, connectivity.ccg_grid(ccg=counts, spikes=df.where("rec IS NOT NULL AND tick IS NOT NULL"), **PARAMS))
