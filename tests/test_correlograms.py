@@ -56,3 +56,15 @@ def test_grid_is_that_of_the_sql(spark, capsys):
     assert "Join" not in capsys.readouterr().out
     counts = connectivity.ccg_counts(spikes=df, width=110, **PARAMS)
     assert _same(found, connectivity.ccg_grid(ccg=counts, spikes=df.where("rec IS NOT NULL AND tick IS NOT NULL"), **PARAMS))
+
+
+def test_covariance_with_fewer_bins_than_units_by_the_small_matrix():
+    import numpy as np
+
+    from tremolo.operators.connectivity import _times_pinv
+
+    rng, eps = np.random.default_rng(3), np.finfo(float).eps
+    for bins, units in ((12, 30), (30, 12), (20, 20)):
+        x = rng.poisson(0.5, (bins, units)).astype(float)
+        cx, f = x - x.mean(0), np.maximum(x - 0.5, 0) - np.maximum(x - 0.5, 0).mean(0)
+        assert np.allclose(_times_pinv(cx, f, units * eps), cx @ np.linalg.pinv(f.T @ cx, rcond=units * eps))
