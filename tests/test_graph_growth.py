@@ -47,3 +47,13 @@ def test_diffusion_efficiency_by_elimination(monkeypatch):
     assert abs(g.diffusion_efficiency(a, np.arange(n), None)[0][0] - 1 / (n - 1)) < 1e-12
     cycle = np.roll(np.eye(n), 1, axis=1)
     assert abs(g.diffusion_efficiency(cycle, np.arange(n), None)[0][0] - np.mean(1 / np.arange(1, n))) < 1e-9
+
+
+def test_louvain_leaves_out_empty_communities(monkeypatch):
+    widths, least = [], np.argmax
+    monkeypatch.setattr(np, "argmax", lambda x: widths.append(len(x)) or least(x))
+    k = np.repeat(np.arange(8), 12)
+    a = (k[:, None] == k[None, :]) * 1.0 - np.eye(96)
+    ci = g.louvain_partition(a + 0.001, np.random.default_rng(0), 1.0)
+    assert all((ci[k == c] == ci[k == c][0]).all() for c in range(8)) and len(set(ci)) == 8
+    assert widths[:96] == [96] * 96 and widths[100] < 48
