@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from tests.test_graph_values import _random
 
+from tremolo.functions import source_kernels
 from tremolo.operators import graph
 
 
@@ -162,3 +163,31 @@ def test_hop_pairs_are_not_joined(spark, capsys):
     assert "Join" not in capsys.readouterr().out
     d = _lengths(a, False)
     assert {(r["a"], r["b"]): r["d"] for r in found.collect()} == {(x, y): d[x, y] for x in range(14) for y in range(14)}
+
+
+class _Counted:
+    """A generator that counts its calls."""
+
+    def __init__(self):
+        self.rng, self.calls = np.random.default_rng(3), 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return getattr(self.rng, name)
+
+
+def test_latticised_draws_in_blocks():
+    n = 400
+    a = np.triu(np.random.default_rng(1).random((n, n)) < 0.05, 1) * np.random.default_rng(2).integers(1, 9, (n, n)).astype(float)
+    a = a + a.T
+    u, v = np.nonzero(a)
+    rng = _Counted()
+    i, j, w, done = next(source_kernels.latticised(source_kernels.Arcs(n, u, v, a[u, v]), np.arange(n), np.arange(n), rng))
+    r = np.zeros_like(a)
+    r[i, j] = w
+    assert len(i) == len(u) and (r == r.T).all() and ((r != 0).sum(1) == (a != 0).sum(1)).all() and (np.diag(r) == 0).all()
+    assert (np.sort(w) == np.sort(a[u, v])).all() and done[0] > len(u)
+    d = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    d = np.minimum(d, n - d)
+    assert (d * r).sum() < 0.5 * (d * a).sum()
+    assert rng.calls < len(u)  # several for each link and round before
