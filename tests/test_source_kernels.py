@@ -1,5 +1,7 @@
 """Kernels by blocks of sources against plain loops, through Spark."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from tests.test_graph_values import _random
@@ -191,3 +193,22 @@ def test_latticised_draws_in_blocks():
     d = np.minimum(d, n - d)
     assert (d * r).sum() < 0.5 * (d * a).sum()
     assert rng.calls < len(u)  # several for each link and round before
+
+
+def test_paths_are_counted_without_a_set_for_each_node():
+    n, m = 4000, 100_000
+    rng = np.random.default_rng(4)
+    name = np.unique(np.r_[rng.integers(0, n * n, m), np.arange(1, n), np.arange(1, n) * n])  # node 0 links with all, both ways
+    name = name[name // n != name % n]
+    u, v = name // n, name % n
+    g = source_kernels.Arcs(n, u, v, np.ones(len(u)))
+    tracemalloc.start()
+    _, found, cycles, _ = next(source_kernels.paths(g, np.arange(n), np.arange(n), 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    b = np.zeros((n, n), np.float32)
+    b[u, v] = 1
+    two = b @ b
+    assert cycles == [0, np.trace(two), (two * b.T).sum(dtype=float)]
+    assert found[1] == two.sum(dtype=float) - np.trace(two)
+    assert peak < 24e6
