@@ -212,3 +212,14 @@ def test_paths_are_counted_without_a_set_for_each_node():
     assert cycles == [0, np.trace(two), (two * b.T).sum(dtype=float)]
     assert found[1] == two.sum(dtype=float) - np.trace(two)
     assert peak < 24e6
+
+
+def test_hop_pairs_come_by_node_with_all_sources_of_a_block():
+    n = 300  # a line with a hub of 150 leaves at its end: distances of up to eight bits
+    u, v = np.r_[np.arange(149), np.full(151, 149)], np.r_[np.arange(1, 150), np.arange(149, 300)]
+    g = source_kernels.Arcs(n, np.r_[u, v], np.r_[v, u], np.ones(2 * len(u)))
+    a, b, d = (np.concatenate(x) for x in zip(*source_kernels.hop_pairs(g, np.arange(n), np.arange(n)), strict=True))
+    assert len(a) == n * n and np.array_equal(np.lexsort((a, b)), np.arange(n * n))  # by distance first before
+    place = np.minimum(np.arange(n), 150)
+    far = np.where((a >= 150) & (b >= 150), 2, np.abs(place[a] - place[b]))
+    assert np.array_equal(d, np.where(a == b, 0, far))
