@@ -223,3 +223,24 @@ def test_hop_pairs_come_by_node_with_all_sources_of_a_block():
     place = np.minimum(np.arange(n), 150)
     far = np.where((a >= 150) & (b >= 150), 2, np.abs(place[a] - place[b]))
     assert np.array_equal(d, np.where(a == b, 0, far))
+
+
+class _ByRows:
+    """Addition that can't go down columns run by run."""
+
+    reduce = staticmethod(np.add.reduce)
+
+    def __call__(self, x, y):
+        return np.add(x, y)
+
+
+def test_wide_values_move_along_arcs_by_whole_rows():
+    n = 500
+    rng = np.random.default_rng(6)
+    b = rng.random((n, n)) < 0.05
+    b[:, 7] = True  # a head of 499 arcs
+    np.fill_diagonal(b, False)
+    u, v = np.nonzero(b)
+    x = rng.integers(0, 1000, (n, 20)).astype(float)
+    found = source_kernels.Arcs(n, u, v, np.ones(len(u))).pull(x, _ByRows(), np.zeros_like(x))
+    assert np.array_equal(found, b.T.astype(float) @ x)
