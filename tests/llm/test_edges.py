@@ -229,3 +229,16 @@ def test_pipeline_keeps_one_of_each_group_and_every_other_text(spark):
     rows = [(1, _prose(1, 200)), (2, _prose(1, 200)), (2, _prose(2, 200)), (3, _prose(3, 200)), (3, _prose(3, 200)), (4, _prose(4, 200)), (None, _prose(4, 200))]
     out = pipeline.near_dedup(spark, _docs(spark, rows), DATA).select("doc_id", "text").collect()
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [rows[0], rows[2], rows[3], rows[5], rows[6]]))
+
+
+def test_words_kept_by_the_codec_are_bounded_and_change_nothing(monkeypatch):
+    """Of ten times as many words as a table keeps, two tables' worth is held, and ids are the same."""
+    from tremolo.llm import bpe
+
+    texts = [" ".join(f"w{k}x{j}" for j in range(20)) + " again and again," for k in range(50)]
+    whole = [bpe.Codec(bpe.default_path()).encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE", 100)
+    c = bpe.Codec(bpe.default_path())
+    assert [c.encode(t) for t in texts * 2] == whole * 2
+    assert max(map(len, (c.kept, c.old, c.kept_words, c.old_words))) <= 100
+    assert " again" in c.kept or " again" in c.old

@@ -128,3 +128,33 @@ def test_shapes_that_one_holder_a_line_misses(spark, shape):
     assert gone not in last.split() and len(last.split()) >= 2
     if shape == "inside a sentence":
         assert last.split() == ["Other", "words."]
+
+
+def test_a_worker_gives_back_what_its_batches_took():
+    """Python workers live on from task to task: of a large part little stays."""
+    import os
+    import random
+
+    from tremolo.llm.common import trimmed
+    from tremolo.llm.line_dedup import _parts
+
+    def run(batches):
+        for b in batches:
+            held = [bytes(1000) for _ in range(200_000)]
+            last = bytes(1000)  # stands behind the others on the heap
+            del held
+            yield b
+        _ = last
+
+    def rss():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+
+    before = rss()
+    assert len(list(trimmed(run)(iter([1])))) == 1
+    assert rss() - before < 50
+    rng = random.Random(3)
+    texts = pa.array(["x" * rng.randrange(100_000) for _ in range(50)] + ["y" * 2_000_000])
+    parts = list(_parts(texts))
+    assert sum(n for _, n in parts) == len(texts)
+    assert all(n == 1 or sum(len(x) for x in texts.slice(at, n).to_pylist()) < 1 << 18 for at, n in parts)

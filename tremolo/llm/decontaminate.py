@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, ship, trimmed
 
 NUM, NAME, UNIT, CAP, END, BOTH = 1, 2, 4, 8, 16, 32
 _EDGE = "\"'`´‘’“”«»()[]{}<>.,;:!?…|*#&%$"
@@ -312,7 +312,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     ship(spark)
     scratch = Scratch(spark, "leaks")
     items = scratch.keep(benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id()), "items")
-    wanted = items.select("item", "text").mapInArrow(_item_windows(width, min_literals), "item bigint, size bigint, p bigint, w bigint, h bigint, kinds array<bigint>, wanted array<bigint>")
+    wanted = items.select("item", "text").mapInArrow(trimmed(_item_windows(width, min_literals)), "item bigint, size bigint, p bigint, w bigint, h bigint, kinds array<bigint>, wanted array<bigint>")
     wanted = scratch.keep(wanted, "windows")
     # BITS / 64 rows at most: a row for each word of the bitmap.
     slot = F.col("h").bitwiseAND(F.lit(BITS - 1).cast("bigint"))
@@ -323,7 +323,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     widths = sorted(r["w"] for r in wanted.select("w").distinct().collect())  # 1 to width
     text = F.col(f"`{text_col}`").cast("string")
     tk, tl = text_keys(text)
-    met = docs.where(text.isNotNull()).select(tk.alias("tk"), tl.alias("tl"), text.alias("text")).mapInArrow(_doc_windows(shared, widths, min_literals), "tk bigint, tl bigint, h bigint, d bigint, there array<bigint>")
+    met = docs.where(text.isNotNull()).select(tk.alias("tk"), tl.alias("tl"), text.alias("text")).mapInArrow(trimmed(_doc_windows(shared, widths, min_literals)), "tk bigint, tl bigint, h bigint, d bigint, there array<bigint>")
     met = scratch.keep(met.dropDuplicates(["tk", "tl", "h", "d"]), "met")
     hits = met.join(wanted, "h")  # broadcast by Spark only below its threshold; else a merge join, which AQE splits
     found = hits.groupBy("tk", "tl", "item").applyInArrow(_judge(min_coverage, min_agreement, min_run), "tk bigint, tl bigint, item bigint, coverage double, windows int, slots int, agreement double")

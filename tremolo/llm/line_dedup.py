@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship
+from .common import Scratch, ship, trimmed
 
 CUT = 8  # a line ends behind a word whose hash is a multiple of CUT
 FEW = 1_000_000  # ids at most that are broadcast as a filter
@@ -47,7 +47,7 @@ _STOP = np.isin(np.arange(256), list(b".!?"))
 _CLOSER = np.isin(np.arange(256), list(b"\"')]}"))
 
 
-POWERS = 1 << 20  # powers kept; a part of a batch has fewer bytes, but where one text is larger
+POWERS = 1 << 18  # powers kept; a part of a batch has fewer bytes, but where one text is larger
 _powers = {int(x): np.ones(1, np.uint64) for x in (_MULT, _BACK)}
 
 
@@ -268,7 +268,7 @@ def shared_ranges(earlier: Lines, later: Lines, e: int, k: int, min_words: int)
     return out
 
 
-def _parts(texts: pa.Array, most: int = 128, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts: pa.Array, most: int = 128, size: int = POWERS - 1) -> Iterator[tuple[int, int]]:
     """(first, rows) of parts of a column: ``most`` texts and ``size`` bytes, or one text."""
     n = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)])
     at = 0
@@ -371,7 +371,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.dtypes)[id_col]
     text = F.col(f"`{text_col}`")
     keyed = docs.where(F.col(f"`{id_col}`").isNotNull() & text.isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    windows = scratch.keep(keyed.select("doc_id", "text").mapInArrow(_windows(min_block_words), f"doc_id {kind}, w array<bigint>"), "windows")
+    windows = scratch.keep(keyed.select("doc_id", "text").mapInArrow(trimmed(_windows(min_block_words)), f"doc_id {kind}, w array<bigint>"), "windows")
     anchors = windows.select("doc_id", F.explode("w").alias("x"))
     shared = anchors.groupBy("x").agg(F.min("doc_id").alias("e_id"), F.max("doc_id").alias("last_id")).where("e_id < last_id").select("x", "e_id")
     # The joins are merge joins at every size: both sides grow with the corpus, and AQE splits
@@ -392,7 +392,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = later.hint("merge").join(of(met, "doc_id"), "doc_id").select("e_id", "salt", "doc_id", "tk", "text")
     heads = of(salts, "e_id").join(salts, F.col("doc_id") == F.col("e_id")).select("e_id", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.lit(None).cast(kind).alias("doc_id"), "tk", "text")
     dealt = heads.unionByName(later).repartition("e_id", "salt").sortWithinPartitions("e_id", "salt", F.col("doc_id").asc_nulls_first(), "tk")
-    cuts = dealt.select("e_id", "doc_id", "tk", "text").mapInArrow(_aligner(min_block_words), f"doc_id {kind}, tk bigint, cut array<int>")
+    cuts = dealt.select("e_id", "doc_id", "tk", "text").mapInArrow(trimmed(_aligner(min_block_words)), f"doc_id {kind}, tk bigint, cut array<int>")
     cuts = cuts.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("cut")).alias("cut"))
     i, k, c, d = (_free(x, [*docs.columns, cut_col]) for x in ("i", "k", "c", "d"))
     cuts = scratch.keep(cuts, "cuts").select(F.col("doc_id").alias(i), F.col("tk").alias(k), F.col("cut").alias(c))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, ship
+from .common import Scratch, components, ship, trimmed
 from .simhash import link_components
 
 SEED = 42
@@ -104,7 +104,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(spark)
     scratch = Scratch(spark, "shingles")
     kind = dict(docs.dtypes)[id_col]
-    sets = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sets(width), f"doc_id {kind}, node bigint, fp bigint, h array<bigint>")
+    sets = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(_sets(width)), f"doc_id {kind}, node bigint, fp bigint, h array<bigint>")
     sets = scratch.keep(sets, "sets")
     ids = scratch.keep(sets.select("doc_id", "node"), "ids")
     full = sets.where(F.size("h") > 0).select("node", "h")
@@ -117,7 +117,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = sample.select(F.explode("h").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(slots - 1).cast("bigint")).alias("slot")).count()
     crowded = counts.where(F.col("count") > (64 + 2 * total // slots) // SAMPLE).orderBy("slot").toPandas()
     hot = spark.sparkContext.broadcast((crowded["slot"].to_numpy(np.int64), crowded["count"].to_numpy(np.int64)))
-    nodes = full.mapInArrow(_prefixes(hot, slots, tenths), "node bigint, n bigint, p array<bigint>").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
+    nodes = full.mapInArrow(trimmed(_prefixes(hot, slots, tenths)), "node bigint, n bigint, p array<bigint>").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
     nodes = scratch.keep(nodes, "nodes")
 
     held = nodes.select(F.explode("p").alias("x"), "node", "n")

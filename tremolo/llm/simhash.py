@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, ship
+from .common import Scratch, components, ship, trimmed
 from .gray_index import local_components
 
 SEED = 42
@@ -56,7 +56,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_prints, f"doc_id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(_prints), f"doc_id {kind}, fp bigint")
 
 
 def _blocks(n: int) -> list[int]:
@@ -114,7 +114,7 @@ def link_components(spark: SparkSession, prints: DataFrame, scratch: Scratch, ra
             yield pa.RecordBatch.from_arrays([pa.array(node[part].view(np.int64)), pa.array(root[part].view(np.int64))], names=["a", "b"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 2_000_000)
-    edges = keyed.repartition(parts, "g").select("fp", "g").mapInArrow(search, "a bigint, b bigint")
+    edges = keyed.repartition(parts, "g").select("fp", "g").mapInArrow(trimmed(search), "a bigint, b bigint")
     return components(spark, edges, scratch)
 
 
