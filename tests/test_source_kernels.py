@@ -1,5 +1,6 @@
 """Kernels by blocks of sources against plain loops, through Spark."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -244,3 +245,17 @@ def test_wide_values_move_along_arcs_by_whole_rows():
     x = rng.integers(0, 1000, (n, 20)).astype(float)
     found = source_kernels.Arcs(n, u, v, np.ones(len(u))).pull(x, _ByRows(), np.zeros_like(x))
     assert np.array_equal(found, b.T.astype(float) @ x)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_betweenness_along_a_long_line_passes_each_arc_once(weighted):
+    n = 2000
+    u, v = np.r_[np.arange(n - 1), np.arange(1, n)], np.r_[np.arange(1, n), np.arange(n - 1)]
+    g = source_kernels.Arcs(n, u, v, np.full(len(u), 2.0))
+    began = time.time()
+    (ids, found), = source_kernels.betweenness(g, np.arange(n), np.arange(n), weighted=weighted)
+    (a, b, shared), = source_kernels.edge_betweenness(g, np.arange(n), np.arange(n), weighted=weighted)
+    assert time.time() - began < 60  # a sweep over all arcs and sources for each edge of a path before
+    assert np.allclose(found, 2 * ids * (n - 1 - ids))
+    low = np.minimum(a, b) + 1
+    assert np.allclose(shared, low * (n - low))
