@@ -259,3 +259,27 @@ def test_betweenness_along_a_long_line_passes_each_arc_once(weighted):
     assert np.allclose(found, 2 * ids * (n - 1 - ids))
     low = np.minimum(a, b) + 1
     assert np.allclose(shared, low * (n - low))
+
+
+def test_weighted_betweenness_where_lengths_differ_a_thousandfold():
+    rng = np.random.default_rng(7)
+    a = (rng.random((12, 12)) < 0.4) * 10.0 ** rng.integers(-3, 4, (12, 12))
+    np.fill_diagonal(a, 0)
+    u, v = np.nonzero(a)
+    node, edge = source_kernels.brandes(source_kernels.Arcs(12, u, v, a[u, v]), np.arange(12), True)
+    want, arcs = _through(a, True)
+    g = source_kernels.Arcs(12, u, v, a[u, v])
+    assert np.allclose(node, want) and np.allclose(edge, arcs[g.u, g.v])
+
+
+def test_weighted_distances_along_a_long_line_pass_each_arc_once():
+    n = 3000
+    u, v = np.r_[np.arange(n - 1), np.arange(1, n)], np.r_[np.arange(1, n), np.arange(n - 1)]
+    g = source_kernels.Arcs(n, u, v, np.full(len(u), 2.0))
+    began = time.time()
+    total = sum(x[0][0] for x in source_kernels.inverse_distances(g, np.arange(n), np.arange(n)))
+    assert time.time() - began < 40
+    far = np.arange(1, n)
+    assert abs(total / (2 * ((n - far) / (far / 2)).sum()) - 1) < 1e-9
+    rows = source_kernels.distance_wei(g, np.arange(n), np.arange(0, n, 100))
+    assert all(np.allclose(d, np.abs(a - b) / 2) and np.array_equal(hops, np.abs(a - b)) for a, b, d, hops in rows)
