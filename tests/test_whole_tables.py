@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tremolo.functions.connectivity import link_candidates, significant_links
-from tremolo.operators.connectivity import ccg_links
+from tremolo.operators.connectivity import ccg_links, differential_covariance
 from tremolo.plans import registry
 
 WIDE = "/root/testdata/sf0.01"  # 150 users
@@ -64,3 +64,22 @@ def test_whole_table_queries_reach_every_user(spark, name):
         assert found.where("d = 0").count() == n
     else:
         assert found.count() > n // 2 and found.where("a >= 5").count() > 0
+
+
+def test_covariance_is_not_made_as_one_table(spark, capsys):
+    rng = np.random.default_rng(3)
+    n = rng.poisson(1.0, (30, 7))
+    rows = [(r, k, b, int(n[b, k])) for r in ("p", "q") for b in range(30) for k in range(7) if n[b, k] and (r == "p" or k < 5)]
+    found = differential_covariance(spark.createDataFrame(rows, "rec string, unit long, bin long, n long"))
+    found.explain()
+    assert "InPandas" not in capsys.readouterr().out  # one table of all pairs of a recording before
+    for r, units in (("p", 7), ("q", 5)):
+        x = n[:, :units] * 1.0
+        mine = [b for q, _, b, _ in rows if q == r]
+        x = x[min(mine) : max(mine) + 1]
+        d = np.vstack([(x[2:] - x[:-2])[:1] * 0, (x[2:] - x[:-2]) / 2, x[:1] * 0])
+        d[[0, -1]] = d[1:-1].mean(0)
+        cx = x - x.mean(0)
+        want = ((d - d.mean(0)).T @ cx) @ np.linalg.inv(cx.T @ cx)
+        got = {(a, b): w for q, a, b, w in found.collect() if q == r}
+        assert len(got) == units * units and all(abs(w - want[k]) < 1e-9 for k, w in got.items())
