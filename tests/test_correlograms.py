@@ -53,6 +53,21 @@ def test_links_of_rows_that_stand_together(spark):
     assert together == sorted(map(tuple, connectivity.ccg_links(counts).collect()))
 
 
+def test_links_are_found_without_the_rows_of_other_pairs(spark):
+    rng, rows = random.Random(6), []
+    for k in range(200):  # unit 2 fires one bin after unit 1, units 3 to 89 by chance
+        at = k * 1000 + rng.randrange(200)
+        rows += [("x", 1, at), ("x", 2, at + 20)] + [("x", rng.randrange(3, 90), rng.randrange(200_000))]
+    df = spark.createDataFrame([(r, u, t * 3_000_000) for r, u, t in rows], "rec string, unit long, tick long")
+    held = connectivity.Held(df)
+    counts = connectivity.correlograms(held)
+    found = sorted(map(tuple, connectivity.ccg_links(counts, together=True, held=held).collect()))
+    assert ("x", 1, 2, 1) in found
+    assert found == sorted(map(tuple, connectivity.ccg_links(counts).collect()))
+    few = connectivity.correlograms(held, "likely")
+    assert 0 < few.count() < counts.where("a <> b").count() / 2  # all rows were made before
+
+
 def test_grid_is_that_of_the_sql(spark, capsys):
     df = _spikes(spark)
     found = connectivity.correlograms(df, "grid", **PARAMS)
