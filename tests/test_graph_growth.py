@@ -5,6 +5,7 @@ import time
 import numpy as np
 
 from tremolo.functions import graph_kernels as g
+from tremolo.functions import source_kernels
 
 
 def _plain_growth(n, k, rng, eta=-1.0, gamma=0.5):
@@ -57,3 +58,13 @@ def test_louvain_leaves_out_empty_communities(monkeypatch):
     ci = g.louvain_partition(a + 0.001, np.random.default_rng(0), 1.0)
     assert all((ci[k == c] == ci[k == c][0]).all() for c in range(8)) and len(set(ci)) == 8
     assert widths[:96] == [96] * 96 and widths[100] < 48
+
+
+def test_generative_model_without_a_matrix_of_all_nodes():
+    n = 60_000  # a matrix of 29 GB
+    none = source_kernels.Arcs(n, *np.zeros((2, 0), int), np.zeros(0))
+    (x, y), = source_kernels.generative_model(none, np.arange(n) + 7, np.arange(n), np.random.default_rng(1), k=60)
+    assert len(set(zip(x.tolist(), y.tolist(), strict=True))) == 60 and (x < y).all() and x.min() >= 7
+    a = np.zeros((16, 16))
+    (x, y), = source_kernels.generative_model(g.arcs(a), np.arange(16), np.arange(16), np.random.default_rng(4), k=40)
+    assert np.array_equal(np.stack(np.nonzero(np.triu(_plain_growth(16, 40, np.random.default_rng(4))))), [x, y])
